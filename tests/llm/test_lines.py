@@ -1,0 +1,42 @@
+from collections import defaultdict
+
+from gridols.llm import lines
+
+
+def brute(rows, min_sites, max_share):
+    sites = defaultdict(set)
+    for r in rows:
+        for x in (r["text"] or "").split("\n"):
+            if x.strip(" \t\r") and r["source"] is not None:
+                sites[x.strip(" \t\r")].add(r["source"])
+    bad, out = {x for x, s in sites.items() if len(s) >= min_sites}, []
+    for r in rows:
+        if r["text"] is None:
+            out.append((r["doc_id"], None, 0, 0))
+            continue
+        parts = r["text"].split("\n")
+        kept = "\n".join(x for x in parts if x.strip(" \t\r") not in bad)
+        cut = sum(x.strip(" \t\r") in bad for x in parts)
+        few = cut and len(r["text"].encode()) - len(kept.encode()) <= max_share * len(r["text"].encode())
+        out.append((r["doc_id"], kept if few else r["text"], len(parts), cut if few else 0))
+    return sorted(map(repr, out))
+
+
+def test_equals_brute_force(spark, documents, odd, none):
+    for df in (documents, odd, none):
+        for sites, share in ((2, 0.5), (4, 0.9), (10, 0.5)):
+            got = lines.remove_boilerplate(df, sites, share)
+            assert got.columns == [*df.columns, "lines_in", "lines_cut"]
+            assert sorted(repr((r["doc_id"], r["text"], r["lines_in"], r["lines_cut"])) for r in got.collect()) == brute(df.collect(), sites, share)
+
+
+def test_many_sites_and_near_threshold(spark):
+    rows = [(i, f"own {i} words\nshared by all\n" + ("edge line\n" if i < 300 else "") + ("just under\n" if i < 299 else ""), f"s{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = lines.remove_boilerplate(df, 300, 0.9)
+    assert sorted(repr((r["doc_id"], r["text"], r["lines_in"], r["lines_cut"])) for r in got.collect()) == brute(df.collect(), 300, 0.9)
+
+
+def test_plan_has_no_python(documents):
+    plan = lines.remove_boilerplate(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
