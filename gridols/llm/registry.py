@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import lines, sharding, token_files, topk
+from gridols.llm import langid, lines, sharding, simhash, token_files, topk
 from gridols.llm.common import read
 
 
@@ -18,12 +18,20 @@ def op1_exact_topk(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark, sf_dir):
     path = token_files.scratch(spark)
     token_files.write(read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end=2)
     return token_files.read_back(spark, path)
 
 
+def op5_language(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark, sf_dir):
     cleaned = lines.remove_boilerplate(read(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "lines_in", "lines_cut", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -35,7 +43,9 @@ def op9_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
+    "op5_language": op5_language,
     "op7_line_dedup": op7_line_dedup,
     "op9_sharding": op9_sharding,
 }
