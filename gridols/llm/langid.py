@@ -48,7 +48,7 @@ class Index:
     """Open-addressing hash table from unsigned 64-bit keys to their places."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.append(keys, 0).astype(np.uint64)
+        self.keys = np.append(keys.astype(np.uint64), np.uint64(0))
         self.bits = max(4, int(len(keys) * 4).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         todo, slot = np.arange(len(keys)), self.hash(keys)

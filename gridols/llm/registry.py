@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import langid, lines, sharding, simhash, token_files, topk
+from gridols.llm import langid, lines, pieces, sharding, simhash, token_files, topk
 from gridols.llm.common import read
 
 
@@ -37,6 +37,13 @@ def op7_line_dedup(spark, sf_dir):
     return cleaned.select("doc_id", "lines_in", "lines_cut", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_pieces(spark, sf_dir):
+    path = vocabulary("piece_bpe_32k.model")
+    encoded = pieces.encode(read(spark, sf_dir, "documents"), path, n_best=4)
+    told = encoded.select("doc_id", "ids", "score", F.size("alternatives").cast("int").alias("n_alternatives"), F.get(F.col("alternatives"), F.lit(0))["score"].alias("second_score"))
+    return pieces.decode(told, path).select("doc_id", F.size("ids").alias("n_pieces"), "score", "n_alternatives", "second_score", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -47,6 +54,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pieces": op8_pieces,
     "op9_sharding": op9_sharding,
 }
 
