@@ -31,14 +31,24 @@ from gridols.llm.common import shared_dir, texts
 BLOB = "shard int, blob_no int, first_doc long, last_doc long, n_tokens long, blob binary"
 HEAD = "<4sHHI32s"
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+
+
+class Known(dict):
+    """Ids by word; words that are not kept are looked up in ``more``."""
+
+    more: dict = {}
+
+    def __missing__(self, word):
+        return self.more[word]
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
-    The vocabulary's splitter drops white space and no piece of it reaches over a space or line feed, so a text's ids
-    are those of its words in turn. Texts that may hold a special token go to the library whole.
+    The vocabulary lowers case and its splitter drops white space, and no piece of it reaches over a space or line
+    feed; so a text's ids are those of its words in turn, with A-Z lowered. Texts that may hold a special token go to
+    the library whole.
     """
 
     def __init__(self, path: str):
@@ -47,30 +57,27 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def many(self, batch: list[str | None], end: int) -> list[bytes]:
-        """Serialized ids of each text, with the end id."""
-        split = [None if t and "<|" in t else (t or "").replace("\n", " ").split(" ") for t in batch]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        fresh = set().union(*(w for w in split if w is not None)).difference(self.known)
-        fresh = list(fresh)
-        new = dict(zip(fresh, (self.pack(x.ids) for x in self.tokenizer.encode_batch(fresh, add_special_tokens=False)), strict=True))
-        if len(self.known) + len(new) <= CACHE_WORDS:
-            self.known |= new
-            new = self.known
-            get = new.__getitem__
-        else:
-            known = self.known
-            get = lambda w: known[w] if w in known else new[w]
-        last = self.pack([end])
-        return [b"".join(map(get, w)) + last if w is not None else self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) + last for t, w in zip(batch, split, strict=True)]
+    def many(self, batch: list[bytes | None], end: int) -> list[bytes]:
+        """Serialized ids of each UTF-8 text, with the end id."""
+        split = [None if t and b"<|" in t else (t or b"").lower().replace(b"\n", b" ").split(b" ") for t in batch]
+        fresh = list(set().union(*(w for w in split if w is not None)).difference(self.known))
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
+        cuts = [0, *np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))).tolist()]
+        flat = self.pack([i for x in ids for i in x])
+        new = dict(zip(fresh, [flat[self.width * a : self.width * b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        self.known.more = new
+        get, last = self.known.__getitem__, self.pack([end])
+        out = [b"".join(map(get, w)) + last if w is not None else self.pack(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) + last for t, w in zip(batch, split, strict=True)]
+        if len(self.known) < CACHE_WORDS:
+            self.known.update(new)
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -86,8 +93,8 @@ def train_dictionary(documents: DataFrame, vocabulary: str, end: int, sample_doc
 
     short = texts(documents).where("octet_length(text) BETWEEN 1 AND 65536")
     ids = [r[0] for r in short.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs).collect()]
-    sample = [r[0] for r in short.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").limit(sample_docs).select("text").collect()] if ids else []
-    arrays = encoder(vocabulary).many(sample, end)
+    sample = [r[0] for r in short.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").limit(sample_docs).select(F.col("text").cast("binary")).collect()] if ids else []
+    arrays = encoder(vocabulary).many(list(map(bytes, sample)), end)
     if len(arrays) < 16:
         return b""
     try:
@@ -123,8 +130,8 @@ def write(documents: DataFrame, path: str, vocabulary: str, end: int = 2, shards
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "blob_no", "first_doc", "last_doc", "n_tokens", "blob"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 for doc, data in zip(part.column(0).to_pylist(), enc.many(part.column(1).to_pylist(), end), strict=True):
                     frame = packer.compress(data)
                     ids.append(doc)
@@ -137,7 +144,7 @@ def write(documents: DataFrame, path: str, vocabulary: str, end: int = 2, shards
             yield blob()
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts(documents).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, BLOB).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blobs")
+    texts(documents).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", F.col("text").cast("binary")).mapInArrow(run, BLOB).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blobs")
 
 
 def dictionary_of(spark: SparkSession, path: str) -> bytes:
