@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,12 @@ def texts(documents: DataFrame) -> DataFrame:
 def fold(modulus: int):
     """The remainder that tells held-out documents from the others: crc32 of the id's decimal digits."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(modulus)
+
+
+def hashed_sample(rows: DataFrame, group: str, n: int, salts: int = 64) -> DataFrame:
+    """Of each group the n rows with the smallest hash of doc_id; no task ranks more than ``salts * n`` rows of a group after the first cut."""
+    drawn = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.lit(salts)))
+    first = Window.partitionBy(group, "salt").orderBy("h", "doc_id")
+    last = Window.partitionBy(group).orderBy("h", "doc_id")
+    cut = drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= n)
+    return cut.withColumn("r", F.row_number().over(last)).where(F.col("r") <= n).select(*rows.columns)

@@ -21,10 +21,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridols.llm.common import fold, texts
+from gridols.llm.common import fold, hashed_sample, texts
 
 ORDER = 4
 SAMPLE_BYTES = 65536
@@ -152,8 +152,7 @@ def training_counts(documents: DataFrame, learn: Column, sample_docs: int) -> Da
     """(lang, k, gram, n) over the sample of the labelled documents that ``learn`` admits."""
     labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn & F.octet_length("text").between(1, SAMPLE_BYTES))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs).select("lang", "doc_id")
+    chosen = hashed_sample(labelled.select("lang", "doc_id"), "lang", sample_docs)  # at most sample_docs rows a language
 
     def run(batches):
         for batch in batches:
@@ -165,7 +164,7 @@ def training_counts(documents: DataFrame, learn: Column, sample_docs: int) -> Da
                     keys, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "k", "gram", "n"])
 
-    return labelled.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text").mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    return labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text").mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(documents: DataFrame, learn: Column | None = None, sample_docs: int = 300) -> Model | None:
