@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import langid, lines, pieces, sharding, simhash, token_files, topk
+from gridols.llm import langid, lines, pieces, sharding, simhash, token_files, topk, toxicity
 from gridols.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op1_exact_topk(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op9_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
