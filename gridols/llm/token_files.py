@@ -34,15 +34,6 @@ HEAD = "<4sHHI32s"
 CACHE_WORDS = 800_000
 
 
-class Known(dict):
-    """Ids by word; words that are not kept are looked up in ``more``."""
-
-    more: dict = {}
-
-    def __missing__(self, word):
-        return self.more[word]
-
-
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
@@ -57,7 +48,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
 
@@ -66,18 +57,24 @@ class WordEncoder:
 
     def many(self, batch: list[bytes | None], end: int) -> list[bytes]:
         """Serialized ids of each UTF-8 text, with the end id."""
-        split = [None if t and b"<|" in t else (t or b"").lower().replace(b"\n", b" ").split(b" ") for t in batch]
-        fresh = list(set().union(*(w for w in split if w is not None)).difference(self.known))
+        known = self.known
+        flat, cuts = [], [0]
+        for t in batch:
+            flat += [] if not t or b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ")
+            cuts.append(len(flat))
+        got = list(map(known.get, flat))
+        missed = [i for i, v in enumerate(got) if v is None]
+        fresh = dict.fromkeys([flat[i] for i in missed])
         ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-        cuts = [0, *np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))).tolist()]
-        flat = self.pack([i for x in ids for i in x])
-        new = dict(zip(fresh, [flat[self.width * a : self.width * b] for a, b in zip(cuts, cuts[1:])], strict=True))
-        self.known.more = new
-        get, last = self.known.__getitem__, self.pack([end])
-        out = [b"".join(map(get, w)) + last if w is not None else self.pack(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) + last for t, w in zip(batch, split, strict=True)]
-        if len(self.known) < CACHE_WORDS:
-            self.known.update(new)
-        return out
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), dtype=np.int64) * self.width
+        packed = self.pack([i for x in ids for i in x])
+        fresh = dict(zip(fresh, [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], strict=True))
+        for i in missed:
+            got[i] = fresh[flat[i]]
+        if len(known) < CACHE_WORDS:
+            known.update(fresh)
+        last = self.pack([end])
+        return [(self.pack(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) if t and b"<|" in t else b"".join(got[a:b])) + last for t, a, b in zip(batch, cuts, cuts[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
