@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import langid, lines, pieces, sharding, simhash, token_files, topk, toxicity
+from gridols.llm import decontam, langid, lines, pieces, sharding, simhash, token_files, topk, toxicity
 from gridols.llm.common import read
 
 
@@ -52,6 +52,10 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_pieces": op8_pieces,
     "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL = {
