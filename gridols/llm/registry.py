@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import decontam, langid, lines, pieces, sharding, simhash, token_files, topk, toxicity
+from gridols.llm import decontam, langid, lines, pieces, sharding, simhash, suffixes, token_files, topk, toxicity
 from gridols.llm.common import read
 
 
@@ -36,6 +36,10 @@ def op5_language(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffixes.digest(suffixes.deduplicate(read(spark, sf_dir, "documents")))
+
+
 def op7_line_dedup(spark, sf_dir):
     cleaned = lines.remove_boilerplate(read(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "lines_in", "lines_cut", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_pieces": op8_pieces,
     "op9_sharding": op9_sharding,
