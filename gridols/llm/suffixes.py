@@ -319,15 +319,12 @@ def segment_rows(docs: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
             yield from packed_by_doc(buckets, doc, start, n, kind=1)
 
     def cut(batches):
-        import zstandard
-
         held: dict[bytes, list] = {}
         gone: list[tuple[int, int, int]] = []
-        opener = zstandard.ZstdDecompressor()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             wanted = [np.frombuffer(p.as_py(), np.uint32) for p in batch.column(2)]
-            for h, k, place, first, n, data, at in anchors_of(enumerate(opener.decompress(z.as_py()) for z in batch.column(1))):
+            for h, k, place, first, n, data, at in anchors_of(enumerate(t.as_py() for t in batch.column(1))):
                 shared = np.zeros(len(h), bool)
                 for x in np.unique(k):
                     mine = np.flatnonzero(k == x) if len(k) < 64 else np.arange(*np.searchsorted(k, [x, x + 1]))
@@ -342,7 +339,7 @@ def segment_rows(docs: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
         if held or gone:
             yield batch_of(list(send(held, gone)))
 
-    return docs.join(places, docs["doc_id"] == places["key"]).select("doc_id", "z", "places").mapInArrow(cut, ROWS)
+    return docs.join(places, docs["doc_id"] == places["key"]).select("doc_id", "text", "places").mapInArrow(cut, ROWS)
 
 
 def keep_least(held, gone, content, doc, h, lead, starts):
@@ -386,23 +383,10 @@ def removed_windows(docs: DataFrame, buckets: int) -> DataFrame:
             yield batch_of(list(packed_by_doc(buckets, *(np.array(c, np.int64) for c in zip(*gone, strict=True)))))
 
     places = shared_anchors(docs.select("doc_id", "text"), buckets)
-    rows = segment_rows(compressed(docs, buckets), places, buckets)
+    rows = segment_rows(docs, places, buckets)
     return by_document(rows.repartition(buckets, "bucket").mapInArrow(meet, ROWS), buckets, "gone")
 
 
-def compressed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, z): texts as zstandard frames, dealt by doc_id; the plan has this shuffle once, however often it is used."""
-
-    def run(batches):
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(t.as_py()) for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
-
-    return docs.mapInArrow(run, "doc_id long, z binary").repartition(buckets, "doc_id")
-
-
 def cover(n: int, gone: bytes | None):
     """(starts, ends) of the maximal runs of bytes under the removed windows of a text of n bytes."""
     if not gone:
@@ -421,13 +405,10 @@ def deduplicate(documents: DataFrame, buckets: int | None = None) -> DataFrame:
     gone = removed_windows(docs, buckets)
 
     def run(batches):
-        import zstandard
-
-        opener = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, z, g in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                text = opener.decompress(z.as_py())
+            for doc, t, g in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = t.as_py()
                 a, b = cover(len(text), g.as_py())
                 kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)]))
                 out.append((doc, len(text), [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())], kept))
@@ -435,8 +416,8 @@ def deduplicate(documents: DataFrame, buckets: int | None = None) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
 
-    whole = compressed(docs, buckets)
-    return whole.join(gone, whole["doc_id"] == gone["key"], "left").select("doc_id", "z", "gone").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    # both joins deal out the same texts by doc_id, so the plan has that shuffle once
+    return docs.join(gone, docs["doc_id"] == gone["key"], "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(deduplicated: DataFrame) -> DataFrame:
