@@ -202,10 +202,10 @@ def con_r2(spark, sf_dir):
 
 
 def con_f_factor(spark, sf_dir):
-    """F over a factor of five levels, p = 5."""
+    """F over a factor of five levels, p = 5, in the cells that have every level."""
     model = Model(5, (Contrast.of("segment", [[0, 1, 0, 0, 0], [0, 0, 1, 0, 0], [0, 0, 0, 1, 0], [0, 0, 0, 0, 1]]),))
     out = contrasts.infer(fit(mask.analysed(product_forms(fx.nation_customers(spark, sf_dir), X5), 5, F.col("n_rows")), 5), model)
-    return out.select("cell", "n", r(F.col("con_f")[0], 5).alias("con_f"), r(F.col("con_r2")[0], 6).alias("con_r2"))
+    return out.where("rank = 5").select("cell", "n", r(F.col("con_f")[0], 5).alias("con_f"), r(F.col("con_r2")[0], 6).alias("con_r2"))
 
 
 def voxel_blocks(spark, sf_dir):

@@ -76,8 +76,8 @@ SQL = {
     "con_f_lp": f"WITH {FIT3} SELECT cell, round(-(df / 2.0) * log10(df / (df + 2 * f)), 3) AS con_f_lp FROM q",
     "con_r2": f"WITH {FIT3} SELECT cell, round(r2, 6) AS con_r2 FROM q",
     "con_f_factor": """WITH g AS (SELECT c_nationkey AS cell, c_mktsegment AS s, count(*) AS n, avg(c_acctbal) AS m, sum(c_acctbal * c_acctbal) - count(*) * avg(c_acctbal) * avg(c_acctbal) AS within FROM customer WHERE c_acctbal <> 0 GROUP BY 1, 2),
-        t AS (SELECT cell, sum(n) AS n, sum(within) AS ssw, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS ssb FROM g GROUP BY cell)
-        SELECT CAST(cell AS BIGINT) AS cell, CAST(n AS BIGINT) AS n, round((ssb / 4) / (ssw / (n - 5)), 5) AS con_f, round(ssb / (ssb + ssw), 6) AS con_r2 FROM t WHERE n > 6""",
+        t AS (SELECT cell, count(*) AS levels, sum(n) AS n, sum(within) AS ssw, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS ssb FROM g GROUP BY cell)
+        SELECT CAST(cell AS BIGINT) AS cell, CAST(n AS BIGINT) AS n, round((ssb / 4) / (ssw / (n - 5)), 5) AS con_f, round(ssb / (ssb + ssw), 6) AS con_r2 FROM t WHERE n > 6 AND levels = 5""",
     "voxel_blocks": "SELECT p_partkey AS cell, CAST(ntile(60) OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS block FROM part",
     "dense_map": "WITH f AS (SELECT l_partkey AS cell, count(*) FILTER (WHERE l_extendedprice <> 0) AS n FROM lineitem GROUP BY 1), g AS (SELECT unnest(range((SELECT max(p_partkey) + 1 FROM part))) AS cell) SELECT g.cell, CASE WHEN f.n >= 30 THEN CAST(f.n AS DOUBLE) ELSE 0.0 END AS value FROM g LEFT JOIN f ON g.cell = f.cell",
     "map_union": f"WITH {FIT2} SELECT 'beta' AS map, 0 AS vol, cell, round(b0, 6) AS value FROM t UNION ALL SELECT 'beta', 1, cell, round(b1, 6) FROM t UNION ALL SELECT 'resms', 0, cell, round(resms, 6) FROM t UNION ALL SELECT 'conT', 0, cell, round(t, 6) FROM t",
