@@ -33,10 +33,14 @@ MARK, LITERAL = "▁", "\U0010ffff"
 FALLBACK = 10.0
 CELL = r" +[^ \n]*|[^ \n]+|\n"
 #: Cells whose segmentation a worker keeps.
-CACHE_CELLS = 200_000
+CACHE_CELLS = 150_000
+#: Cells whose alternatives a worker keeps.
+CACHE_SEARCHED = 20_000
 PRIME = np.uint64(0x100000001B3)
 EDITS = "array<struct<score:double,edits:array<struct<piece_from:int,piece_to:int,ids:array<int>>>>>"
-ENCODED = f"doc_id long, ids array<int>, score double, alternatives {EDITS}"
+ENCODED = f"doc_id long, ids array<int>, score double, alternatives {EDITS}, ids_crc32 long, decoded_crc32 long"
+
+ENCODED_NAMES = ["doc_id", "ids", "score", "alternatives", "ids_crc32", "decoded_crc32"]
 
 
 def a_star(n: int, into, forward, count: int):
@@ -203,7 +207,7 @@ class Pieces:
             ids = tuple(i for label in path for i in label)
             if np.array(ids, np.int32).tobytes() != best:
                 out.append((forward[-1] - score, ids))
-        if len(self.searched) < CACHE_CELLS and len(cell) < 100:
+        if len(self.searched) < CACHE_SEARCHED and len(cell) < 100:
             self.searched[cell, count] = out[:count]
         return out[:count]
 
@@ -255,7 +259,12 @@ def pieces(path: str) -> Pieces:
 
 
 def encode(documents: DataFrame, vocabulary: str, n_best: int = 4) -> DataFrame:
-    """(doc_id, ids, score, alternatives): the best path of each whole text, and the next n_best - 1 as edits to it."""
+    """(doc_id, ids, score, alternatives, ids_crc32, decoded_crc32): the best path of each whole text, and the next n_best - 1 as edits to it.
+
+    The checksums are of the ids as unsigned 32-bit integers, and of the UTF-8 text that they decode to.
+    """
+    import zlib
+
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(StructType.fromDDL(f"a {EDITS}")["a"].dataType)
@@ -267,7 +276,7 @@ def encode(documents: DataFrame, vocabulary: str, n_best: int = 4) -> DataFrame:
                 part = batch.slice(at, 128)
                 ids, score, more = zip(*p.encode(part.column(1).to_pylist(), n_best), strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(score, pa.float64()), pa.array(more, kind)], ["doc_id", "ids", "score", "alternatives"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(score, pa.float64()), pa.array(more, kind), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([zlib.crc32(p.decode(x.tolist()).encode()) for x in ids], pa.int64())], ENCODED_NAMES)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, ENCODED)

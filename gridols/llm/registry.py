@@ -46,10 +46,8 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_pieces(spark, sf_dir):
-    path = vocabulary("piece_bpe_32k.model")
-    encoded = pieces.encode(read(spark, sf_dir, "documents"), path, n_best=4)
-    told = encoded.select("doc_id", "ids", "score", F.size("alternatives").cast("int").alias("n_alternatives"), F.get(F.col("alternatives"), F.lit(0))["score"].alias("second_score"))
-    return pieces.decode(told, path).select("doc_id", F.size("ids").alias("n_pieces"), "score", "n_alternatives", "second_score", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    encoded = pieces.encode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), n_best=4)
+    return encoded.select("doc_id", F.size("ids").alias("n_pieces"), "score", F.size("alternatives").cast("int").alias("n_alternatives"), F.get("alternatives", F.lit(0))["score"].alias("second_score"), "ids_crc32", F.col("decoded_crc32").alias("text_crc32"))
 
 
 def op9_sharding(spark, sf_dir):

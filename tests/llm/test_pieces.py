@@ -64,6 +64,7 @@ def test_documents(spark, documents):
     assert sorted(r["doc_id"] for r in rows) == sorted(text)
     for r in rows:
         assert r["text"] == text[r["doc_id"]]
+        assert r["decoded_crc32"] == zlib.crc32(text[r["doc_id"]].encode())
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         assert len(r["alternatives"]) == 3
         scores = [r["score"], *(a["score"] for a in r["alternatives"])]
