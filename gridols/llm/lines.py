@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridols.llm.common import materialize
+
 EDGE = " \t\r"
 
 
@@ -36,9 +38,11 @@ def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
     """(line, n) of the lines on at least ``min_sites`` distinct sites."""
     margin = max(1.0, 4 * 1.04 / 2 ** (lg_k / 2) * min_sites)  # four standard errors of the sketch, or one site
     spread = rows.groupBy("line", "n").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", lg_k)).alias("sites"))
-    near = spread.where(F.abs(F.col("sites") - F.lit(min_sites)) <= F.lit(margin)).select("line", "n")
-    exact = rows.where("source IS NOT NULL").join(near, ["line", "n"], "left_semi").groupBy("line", "n", "source").agg(F.lit(1).alias("one")).groupBy("line", "n").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("line", "n")
-    return spread.where(F.col("sites") > F.lit(min_sites + margin)).select("line", "n").unionByName(exact)
+    likely = materialize(spread.where(F.col("sites") >= F.lit(min_sites - margin)), "likely-lines")
+    near = likely.where(F.col("sites") <= F.lit(min_sites + margin)).select("line", "n")
+    pairs = rows.where("source IS NOT NULL").groupBy("line", "n", "source").agg(F.lit(1).alias("one"))  # summed before the join, so a line on all documents is a few rows
+    exact = pairs.join(near, ["line", "n"], "left_semi").groupBy("line", "n").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("line", "n")
+    return materialize(likely.where(F.col("sites") > F.lit(min_sites + margin)).select("line", "n").unionByName(exact), "boilerplate")
 
 
 def remove_boilerplate(documents: DataFrame, min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
