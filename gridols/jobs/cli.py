@@ -10,13 +10,14 @@ import argparse
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridols.operators import contrasts, maps, mask, validate
 from gridols.operators.clean import attach_design, clean, join_mask, within
 from gridols.operators.fit import fit, full_rank, low_rank_removed
 from gridols.operators.products import product_forms
+from gridols.operators.ranking import numbered
 from gridols.sources.delimited import read_matrix, read_paths
 from gridols.sources.images import read_images, volumes
 from gridols.spec import from_config, read_yaml
@@ -33,7 +34,7 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
     matrix = read_matrix(spark, config["X"])
     xs = [c for c in matrix.columns if c != "row"]
     model = from_config(config, len(xs))
-    design = matrix.withColumn("obs", F.row_number().over(Window.orderBy("row")).cast("long") - 1).drop("row")  # one row an image
+    design = numbered(matrix, "row").withColumn("obs", F.col("number") - 1).drop("row", "number")
     validate.rows_match(len(paths), design.count())
     readings, meta = read_images(spark, paths)
     validate.geometry(meta)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridols.operators import ranking
 from gridols.spec import Model
 
 SCALARS = {"resms": "resms", "llh": "llh"}
@@ -47,7 +48,7 @@ def upsert(old: DataFrame, block: DataFrame) -> DataFrame:
 
 def blocks(cells: DataFrame, k: int) -> DataFrame:
     """(cell, block): k contiguous blocks from 0, sizes at most one apart, the larger ones first."""
-    return cells.select("cell", (F.ntile(k).over(Window.orderBy("cell")) - 1).alias("block"))
+    return ranking.blocks(cells.select("cell"), "cell", k)
 
 
 def place(shape: tuple[int, int, int], cell: Column) -> tuple[Column, Column, Column]:

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridols.operators.ranking import numbered
+
 
 def pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
@@ -46,8 +48,7 @@ def patterns(rows: DataFrame) -> DataFrame:
     seen = rows.where("y <> 0").groupBy("cell").agg(F.sort_array(F.collect_set("obs")).alias("pattern"))
     keyed = seen.withColumn("key", F.struct(F.xxhash64("pattern"), F.size("pattern"), F.hash("pattern")))
     first = keyed.groupBy("key").agg(F.min("cell").alias("first"))
-    numbered = first.withColumn("pattern_id", F.row_number().over(Window.orderBy("first")).cast("long"))  # a row for each pattern
-    return keyed.join(numbered, "key").select("cell", "pattern_id", "pattern")
+    return keyed.join(numbered(first, "first", "pattern_id"), "key").select("cell", "pattern_id", "pattern")
 
 
 def forms_by_pattern(rows: DataFrame, design: DataFrame, xs: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ def combine_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
     """(cell, pattern_id) of two batches' pattern maps together: cells alike in both batches share a number; 0 is absence."""
     both = a.select("cell", F.col("pattern_id").alias("pa")).join(b.select("cell", F.col("pattern_id").alias("pb")), "cell", "full").fillna(0, ["pa", "pb"])
     distinct = both.groupBy("pa", "pb").agg(F.min("cell").alias("first"))
-    return both.join(distinct.withColumn("pattern_id", F.row_number().over(Window.orderBy("first")).cast("long")), ["pa", "pb"]).select("cell", "pattern_id")
+    return both.join(numbered(distinct, "first", "pattern_id"), ["pa", "pb"]).select("cell", "pattern_id")
 
 
 def both_all(conditions: list[Column]) -> Column:

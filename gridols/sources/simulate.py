@@ -25,7 +25,7 @@ def simulate(spark: SparkSession, n: int, p: int, cells: int, seed: int = 1, noi
     """(readings (obs, cell, y), design); the coefficients are p - 1, ..., 1, 0."""
     x = design(spark, n, p, seed)
     signal = sum((F.col(f"x{k}") * (p - 1 - k) for k in range(1, p)), F.col("x0") * (p - 1))
-    grid = x.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<long>")))
+    grid = spark.range(n * cells).select(F.floor(F.col("id") / cells).alias("obs"), (F.col("id") % cells).alias("cell")).join(F.broadcast(x), "obs")  # n rows
     y = F.when(uniform(seed + 7, "obs", "cell") < missing, 0.0).otherwise(signal + noise * normal(seed + 3, "obs", "cell"))
     return grid.select("obs", "cell", y.alias("y")), x
 

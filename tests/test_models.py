@@ -308,3 +308,16 @@ def test_stream_of_readings_ends_where_the_batch_does(spark, planted, tmp_path):
     for r in got:
         assert r["n"] == want[r["cell"]]["n"]
         close(r["beta"], want[r["cell"]]["beta"])
+
+
+def test_numbering_and_blocks_of_uneven_keys(spark):
+    from gridols.operators.ranking import blocks, numbered
+
+    rng = np.random.default_rng(0)
+    keys = sorted({int(x) for x in np.concatenate([rng.integers(-50, 50, 40), rng.integers(10**9, 10**12, 60)])})
+    df = spark.createDataFrame([(k,) for k in keys], "cell long").repartition(3)
+    assert [r["number"] for r in numbered(df, "cell").orderBy("cell").collect()] == list(range(1, len(keys) + 1))
+    for k in (1, 7, 200):
+        want = [b for b, part in enumerate(np.array_split(np.array(keys), k)) for _ in part]
+        assert [r["block"] for r in blocks(df, "cell", k).orderBy("cell").collect()] == want
+    assert numbered(df.limit(0), "cell").count() == 0 and blocks(df.limit(0), "cell", 3).count() == 0
