@@ -33,8 +33,9 @@ from gridols.llm.common import texts
 LENGTH, GRAM = 50, 20
 SHALLOW = 2
 PIECE = 1 << 19
-#: Anchors or segments that a task holds before it sends them on.
+#: Anchors, and segments, that a task holds before it sends them on.
 HELD = 1 << 20
+HELD_SEGMENTS = 1 << 18
 MULTIPLIER = 0x9E3779B97F4A7C15
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 ROWS = "bucket int, kind int, blob binary"
@@ -333,7 +334,7 @@ def segment_rows(docs: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
                 s = np.flatnonzero(shared)
                 for hh, d, lead, start, m, a in zip(h[s].tolist(), k[s].tolist(), (place - first)[s].tolist(), first[s].tolist(), n[s].tolist(), at[s].tolist()):
                     keep_least(held, gone, raw[a : a + m + LENGTH - 1], ids[d], hh, lead, [start])
-                if len(held) + len(gone) >= HELD:
+                if len(held) + len(gone) >= HELD_SEGMENTS:
                     yield batch_of(list(send(held, gone)))
                     held, gone = {}, []
         if held or gone:

@@ -38,6 +38,7 @@ def test_documents_and_odd_rows(documents, odd, none):
 @pytest.mark.parametrize("held,piece", [(1 << 20, 1 << 19), (50, 64), (500, 200)])
 def test_passages_within_texts_in_any_batches(spark, monkeypatch, held, piece):
     monkeypatch.setattr(sx, "HELD", held)
+    monkeypatch.setattr(sx, "HELD_SEGMENTS", held)
     monkeypatch.setattr(sx, "PIECE", piece)
     rng = np.random.default_rng(4)
     word = lambda n: "".join(rng.choice(list("ab é"), n))
