@@ -182,8 +182,11 @@ def sample(documents: DataFrame, labels: DataFrame, learn: Column | None, sample
     return short.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight")  # at most 2 * sample_docs rows
 
 
-def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, least: int = 6, odds: float = 3.0, most: int = 2000) -> dict[str, float]:
-    """Word stems whose documents are toxic far more often than others: the shortest that pass, with their log-odds."""
+def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, least: int = 6, share: float = 0.01, odds: float = 3.0, most: int = 2000) -> dict[str, float]:
+    """Word stems whose documents are toxic far more often than others: the shortest that pass, with their log-odds.
+
+    A stem needs ``least`` toxic documents, and ``share`` of them all, which keeps out words of single copied documents.
+    """
 
     def run(batches):
         word = re.compile(WORD)
@@ -199,7 +202,7 @@ def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, least: int
         return {}
     counts = rows.select("text", "toxic").mapInArrow(run, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     weight = F.ln((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.ln((F.col("clean") + 0.5) / (sizes[0] + 1))
-    found = counts.where(F.col("toxic") >= least).select("stem", weight.alias("w"), "toxic").where(F.col("w") >= odds).orderBy(F.desc("toxic"), "stem").limit(most).collect()
+    found = counts.where(F.col("toxic") >= max(least, share * sizes[1])).select("stem", weight.alias("w"), "toxic").where(F.col("w") >= odds).orderBy(F.desc("toxic"), "stem").limit(most).collect()
     stems: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (len(r["stem"]), r["stem"])):
         if not any(r["stem"][:k] in stems for k in range(shortest, len(r["stem"]))):
