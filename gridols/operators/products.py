@@ -43,22 +43,30 @@ def add_forms(parts: DataFrame, p: int, keys: tuple[str, ...] = ("cell",)) -> Da
     return parts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"), added("xtx", p * p), added("xty", p), F.sum("yty").alias("yty"))
 
 
+def pattern_keys(rows: DataFrame) -> DataFrame:
+    """(cell, key, pattern): the sorted observed observations of each cell, and a hash that equal patterns share."""
+    seen = rows.where("y <> 0").groupBy("cell").agg(F.sort_array(F.collect_set("obs")).alias("pattern"))
+    return seen.withColumn("key", F.struct(F.xxhash64("pattern"), F.size("pattern"), F.hash("pattern")))
+
+
 def patterns(rows: DataFrame) -> DataFrame:
     """(cell, pattern_id, pattern): cells with the same observed observations share a pattern, numbered by its first cell from 1."""
-    seen = rows.where("y <> 0").groupBy("cell").agg(F.sort_array(F.collect_set("obs")).alias("pattern"))
-    keyed = seen.withColumn("key", F.struct(F.xxhash64("pattern"), F.size("pattern"), F.hash("pattern")))
+    keyed = pattern_keys(rows)
     first = keyed.groupBy("key").agg(F.min("cell").alias("first"))
     return keyed.join(numbered(first, "first", "pattern_id"), "key").select("cell", "pattern_id", "pattern")
 
 
 def forms_by_pattern(rows: DataFrame, design: DataFrame, xs: list[str]) -> DataFrame:
-    """Product forms with X'X computed once a pattern and looked up by cell: pays where patterns are far fewer than cells."""
-    found = patterns(rows)
-    p = len(xs)
-    once = found.groupBy("pattern_id").agg(F.first("pattern").alias("pattern")).select("pattern_id", F.explode("pattern").alias("obs")).join(F.broadcast(design), "obs")
-    xx = once.groupBy("pattern_id").agg(*(F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"xx_{i}_{j}") for i, j in pairs(p)))
+    """Product forms with X'X computed once a pattern and looked up by cell: pays where patterns are far fewer than cells.
+
+    Here a pattern is named by its first cell.
+    """
+    p, keyed = len(xs), pattern_keys(rows)
+    once = keyed.groupBy("key").agg(F.min("cell").alias("pattern_id"), F.first("pattern").alias("pattern"))
+    spread = once.select("key", "pattern_id", F.explode("pattern").alias("obs")).join(F.broadcast(design), "obs")
+    xx = spread.groupBy("key", "pattern_id").agg(*(F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"xx_{i}_{j}") for i, j in pairs(p)))
     own = rows.groupBy("cell").agg(F.count("*").alias("n_rows"), F.count_if(F.col("y") != 0).alias("n"), *(F.sum(F.col(x) * F.col("y")).alias(f"xy_{i}") for i, x in enumerate(xs)), F.sum(F.col("y") * F.col("y")).alias("yty"))
-    return packed(own.join(found.drop("pattern"), "cell").join(xx, "pattern_id"), ["cell", "pattern_id"], p)
+    return packed(own.join(keyed.select("cell", "key"), "cell").join(xx, "key"), ["cell", "pattern_id"], p)
 
 
 def combine_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
