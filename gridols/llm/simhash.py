@@ -91,7 +91,11 @@ def bucket_links(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, distance: i
 def near_links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, chunk: int = 4096) -> DataFrame:
     """(a, b) between representatives whose fingerprints are connected within a bucket. distinct: (fp, rep)."""
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(masks(blocks, distance))))
-    rows = distinct.withColumn("k", F.explode(tables)).select("k.t", "k.bucket", "fp", "rep")
+    return bucket_rows_links(distinct.withColumn("k", F.explode(tables)).select("k.t", "k.bucket", "fp", "rep"), distance, chunk)
+
+
+def bucket_rows_links(rows: DataFrame, distance: int, chunk: int) -> DataFrame:
+    """(a, b) between representatives that are connected within a bucket. rows: (t, bucket, fp, rep), t being the table."""
     crowded = materialize(rows.groupBy("t", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "crowded")
     parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(chunk)).cast("int")
     dealt = (
@@ -99,7 +103,7 @@ def near_links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTAN
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - F.lit(1))))
         .select("t", "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp", "rep")
     )
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         table = pa.Table.from_batches(list(batches))
