@@ -4,7 +4,7 @@ Groups of at least a fixed part of a shard are packed one by one: there can only
 smaller groups are first poured into ``buckets`` by the hash of their text, and each bucket is packed as one item. So
 the packing sees a number of items that the parameters bound, whatever the input, and runs beside the plan; sizes,
 group sums, assignment and numbering are Spark's. The capacity is the smallest, to one part in 2**20, at which
-best-fit-decreasing needs no more shards than asked for.
+best-fit-decreasing needs no more shards than asked for; groups over the fair share have a shard each before that.
 
 Nulls and the like: a null text counts as empty; a null doc_id is an ordinary row (numbered first); repeated rows are
 separate rows of one group; an empty table gives an empty result.
@@ -87,10 +87,19 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """Bins of best-fit-decreasing at the smallest capacity that needs at most ``shards`` bins."""
+    """Bins of best-fit-decreasing at the smallest capacity that needs at most ``shards`` bins.
+
+    An item over the fair share of what is left gets a bin of its own first, so that it does not set the others' capacity.
+    """
+    own, rest = 0, sum(sizes)
+    while own < len(sizes) and sizes[own] * (shards - own) > rest:
+        rest -= sizes[own]
+        own += 1
+    if own:
+        return [*range(own), *(own + b for b in pack_into(sizes[own:], shards - own))]
     if not sizes:
         return []
-    low = max(-(-sum(sizes) // shards), sizes[0])
+    low = -(-rest // shards)
     high = 2 * low
     best = None
     while best is None or max(best, default=0) >= shards:
