@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests, local mode) is a temporary folder chosen and set.
+    Only where the session names none and all runs in one process (tests, local mode) is a temporary folder chosen and
+    set; a cluster without a named folder is refused, since its executors would write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
@@ -38,6 +42,21 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is none of ids.doc_id, whatever their other columns are called."""
+    name = unused("gone", documents.columns)
+    gone = ids.select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(gone, documents["doc_id"] == gone[name], "left_anti")
+
+
 def fold(modulus: int):
     """The remainder that tells held-out documents from the others: crc32 of the id's decimal digits."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(modulus)

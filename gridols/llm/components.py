@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 from gridols.llm.common import materialize
 
 
+def state_of(links: DataFrame) -> tuple:
+    """What tells two sets of distinct links (u, v) apart: their number and two exclusive-ors of hashes, which cannot overflow."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link; component is the smallest node reachable. edges: (a, b) long."""
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
     state = None
     while True:
-        now = tuple(links.agg(F.count("*"), F.sum("v"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+        now = state_of(links)
         if now == state or not now[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         state = now

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridols.llm.common import fold, hashed_sample, texts
+from gridols.llm.common import fold, hashed_sample, texts, without
 
 ORDER = 4
 SAMPLE_BYTES = 65536
@@ -213,5 +213,4 @@ def identify(documents: DataFrame, sample_docs: int = 300) -> DataFrame:
 def keep_known(documents: DataFrame, max_bits: float = 8.0, sample_docs: int = 300) -> DataFrame:
     """The documents without those that no language explains: ``und``, or a code no shorter than the bytes themselves."""
     found = predict(documents, fit(documents, None, sample_docs))
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") >= max_bits)).select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("gone"), "left_anti")
+    return without(documents, found.where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") >= max_bits)))

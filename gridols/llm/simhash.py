@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridols.llm.common import materialize, texts
+from gridols.llm.common import materialize, texts, without
 from gridols.llm.components import components
 
 BLOCKS = 6
@@ -132,5 +132,4 @@ def near_duplicates(documents: DataFrame, width: int = 4, blocks: int = BLOCKS,
 
 def keep_one(documents: DataFrame, **how) -> DataFrame:
     """The documents without those that a smaller doc_id is near to; of repeated rows of one doc_id all stay."""
-    gone = near_duplicates(documents, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("gone"), "left_anti")
+    return without(documents, near_duplicates(documents, **how).where("doc_id <> component_id"))
