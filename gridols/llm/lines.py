@@ -2,12 +2,17 @@
 
 A line is what stands between line feeds, without spaces, tabs and carriage returns at its ends; blank lines are never
 boilerplate. HyperLogLog sketches of sites, one a line hash, merge by aggregation. Lines whose estimate is near the
-threshold get an exact distinct count. Lines on at least ``min_sites`` sites are taken out of every document, except of
-documents in which they hold more than ``max_share`` of the bytes: those are copies of a document, not documents that
-carry boilerplate, and near-duplicate removal deals with them whole. DataFrame functions only.
+threshold get an exact distinct count. Lines on at least ``min_sites`` sites are taken out of every document, whatever
+their share of it; a document of such lines alone keeps only its blank lines. With ``spare_copies`` two kinds of document
+are left whole: those whose whole text is that of several documents, and those of which only blank lines would stay. They
+are copies of a document, not documents that carry boilerplate; the pipeline leaves them to near-duplicate removal, which
+would otherwise find them empty. DataFrame functions only.
 
-Nulls and the like: a null text stays null and has no lines; a null source is no site; a null doc_id is an ordinary
-row; repeated rows are each cleaned alike; an empty table gives an empty result.
+Nulls and the like: a null text stays null and has no lines; an empty one has one blank line; a null source is no site; a
+null doc_id is an ordinary row; repeated rows are each cleaned alike, and as copies of each other if copies are spared; a
+line on exactly ``min_sites`` sites is boilerplate; long texts are cut in time that grows with their length; columns of any
+name stay, but for ``lines_in`` and ``lines_cut``, which the counts replace where they are asked for; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -45,22 +50,33 @@ def boilerplate(rows: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
     return materialize(likely.where(F.col("sites") > F.lit(min_sites + margin)).select("line", "n").unionByName(exact), "boilerplate")
 
 
-def remove_boilerplate(documents: DataFrame, min_sites: int = 10, max_share: float = 0.5) -> DataFrame:
+def as_column(rows: DataFrame, name: str, value) -> DataFrame:
+    """The rows with a column that is computed once a row: a generator's output is not put into the expressions that use it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def remove_boilerplate(documents: DataFrame, min_sites: int = 10, spare_copies: bool = False, counts: bool = True) -> DataFrame:
     """The documents with boilerplate lines taken out of ``text``, and the counts lines_in and lines_cut.
 
-    All other columns stay, but for one that has the name of a count.
+    All other columns stay, but for one that has the name of a count where counts are asked for.
     """
     rows = line_rows(documents)
     cut = rows.join(boilerplate(rows, min_sites), ["line", "n"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
+    if spare_copies:  # copies have the same lines, so all of them are among the documents to cut
+        cut = materialize(cut, "lines-to-cut")
+        copied = cut.groupBy("text_hash").agg(F.count("*").alias("copies")).where("copies > 1").select("text_hash")
+        cut = cut.join(copied, "text_hash", "left_anti")
     cut = cut.select(F.col("doc_id").alias("cut_doc"), F.col("text_hash").alias("cut_hash"), "at")
-    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("d")).withColumn("hash", F.xxhash64("d.text"))
-    joined = whole.join(cut, F.col("d.doc_id").eqNullSafe(F.col("cut_doc")) & (F.col("hash") == F.col("cut_hash")), "left")
-    lines, at = split_lines(F.col("d.text")), F.col("at")
-    cleaned = F.when(at.isNotNull(), F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(at, i)), "\n"))
-    n = F.octet_length("d.text")
-    few = F.coalesce(n - F.octet_length("cleaned") <= n * F.lit(max_share), F.lit(False))
-    judged = joined.withColumn("cleaned", cleaned).withColumn("few", few)
-    text = F.when(F.col("few"), F.col("cleaned")).otherwise(F.col("d.text"))
-    counts = {"lines_in": F.coalesce(F.size(lines), F.lit(0)), "lines_cut": F.when(F.col("few"), F.size(at)).otherwise(F.lit(0))}
-    kept = [text.alias(c) if c == "text" else F.col("d").getField(c).alias(c) for c in documents.columns if c not in counts]
-    return judged.select(*kept, *(v.alias(k) for k, v in counts.items()))
+    place = {c: f"given_{i}" for i, c in enumerate(documents.columns)}  # names that clash with none of the below
+    doc, given = F.col(place["doc_id"]), F.col(place["text"])
+    whole = documents.select(*(F.col(f"`{c}`").alias(p) for c, p in place.items())).withColumn("hash", F.xxhash64(given))
+    joined = whole.join(cut, doc.eqNullSafe(F.col("cut_doc")) & (F.col("hash") == F.col("cut_hash")), "left")
+    joined = as_column(joined, "lines", split_lines(given))
+    stay = F.when(F.col("at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "at"))  # by hashes, in order
+    joined = as_column(joined, "stay", stay)
+    joined = as_column(joined, "cleaned", F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n"))
+    few = F.col("at").isNotNull() & (F.btrim("cleaned", F.lit(EDGE + "\n")) != "") if spare_copies else F.col("at").isNotNull()
+    text = F.when(few, F.col("cleaned")).otherwise(given)
+    told = {"lines_in": F.coalesce(F.size("lines"), F.lit(0)), "lines_cut": F.when(few, F.size("at")).otherwise(F.lit(0))} if counts else {}
+    kept = [(text if c == "text" else F.col(p)).alias(c) for c, p in place.items() if c not in told]
+    return joined.select(*kept, *(v.alias(k) for k, v in told.items()))

@@ -86,8 +86,7 @@ SQL = {
         b AS (SELECT line FROM t WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
         m AS (SELECT t.*, b.line IS NOT NULL AS hit FROM t LEFT JOIN b ON t.line = b.line),
         c AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE hit) AS INTEGER) AS cut,
-                     coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS kept FROM m GROUP BY doc_id),
-        f AS (SELECT s.doc_id, s.text, n, cut, kept, cut > 0 AND strlen(s.text) - strlen(kept) <= 0.5 * strlen(s.text) AS few FROM s LEFT JOIN c USING (doc_id))
-        SELECT doc_id, coalesce(n, 0) AS lines_in, CASE WHEN few THEN cut ELSE 0 END AS lines_cut,
-               sha256(CASE WHEN few THEN kept ELSE text END) AS kept_sha256 FROM f""",
+                     coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS kept FROM m GROUP BY doc_id)
+        SELECT s.doc_id, coalesce(n, 0) AS lines_in, coalesce(cut, 0) AS lines_cut, sha256(CASE WHEN cut > 0 THEN kept ELSE text END) AS kept_sha256
+        FROM s LEFT JOIN c USING (doc_id)""",
 }

@@ -1,10 +1,10 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from gridols.llm import lines
 
 
-def brute(rows, min_sites, max_share):
-    sites = defaultdict(set)
+def brute(rows, min_sites, spare_copies=False):
+    sites, copies = defaultdict(set), Counter(t for t in {(r["doc_id"], r["text"]): r["text"] for r in rows}.values())
     for r in rows:
         for x in (r["text"] or "").split("\n"):
             if x.strip(" \t\r") and r["source"] is not None:
@@ -17,24 +17,53 @@ def brute(rows, min_sites, max_share):
         parts = r["text"].split("\n")
         kept = "\n".join(x for x in parts if x.strip(" \t\r") not in bad)
         cut = sum(x.strip(" \t\r") in bad for x in parts)
-        few = cut and len(r["text"].encode()) - len(kept.encode()) <= max_share * len(r["text"].encode())
-        out.append((r["doc_id"], kept if few else r["text"], len(parts), cut if few else 0))
+        if spare_copies and (copies[r["text"]] > 1 or not kept.strip(" \t\r\n")):
+            cut = 0
+        out.append((r["doc_id"], kept if cut else r["text"], len(parts), cut))
     return sorted(map(repr, out))
 
 
+def rows_of(df):
+    return sorted(repr((r["doc_id"], r["text"], r["lines_in"], r["lines_cut"])) for r in df.collect())
+
+
 def test_equals_brute_force(spark, documents, odd, none):
     for df in (documents, odd, none):
-        for sites, share in ((2, 0.5), (4, 0.9), (10, 0.5)):
-            got = lines.remove_boilerplate(df, sites, share)
+        for sites, spare in ((2, False), (2, True), (4, True), (10, False)):
+            got = lines.remove_boilerplate(df, sites, spare)
             assert got.columns == [*df.columns, "lines_in", "lines_cut"]
-            assert sorted(repr((r["doc_id"], r["text"], r["lines_in"], r["lines_cut"])) for r in got.collect()) == brute(df.collect(), sites, share)
+            assert rows_of(got) == brute(df.collect(), sites, spare)
+
+
+def test_boilerplate_goes_whatever_its_share(spark):
+    rows = [(i, f"shared by all\n\nown {i}", f"s{i}") for i in range(12)] + [(20, "shared by all", "t"), (21, "shared by all", "u"), (22, "shared by all\n ", "v"), (23, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for spare in (False, True):
+        assert rows_of(lines.remove_boilerplate(df, 10, spare)) == brute(df.collect(), 10, spare)
+    cut = {r["doc_id"]: r["text"] for r in lines.remove_boilerplate(df, 10).collect()}
+    assert cut[3] == "\nown 3" and cut[20] == "" and cut[22] == " "
+    spared = {r["doc_id"]: r["text"] for r in lines.remove_boilerplate(df, 10, True).collect()}
+    assert spared[3] == "\nown 3" and spared[20] == spared[21] == "shared by all" and spared[22] == "shared by all\n "
+
+
+def test_columns_with_the_names_of_counts(spark):
+    df = spark.createDataFrame([(1, "a\nb", "s", 7, 8, 9)], "doc_id long, text string, source string, lines_in int, lines_cut int, lines int")
+    assert tuple(lines.remove_boilerplate(df, 1).first()) == (1, "", "s", 9, 2, 2)
+    kept = lines.remove_boilerplate(df, 2, counts=False)
+    assert kept.columns == df.columns and tuple(kept.first()) == (1, "a\nb", "s", 7, 8, 9)
+
+
+def test_a_document_of_very_many_lines(spark):
+    many = "\n".join("cut" if i % 3 else f"own {i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, many, "a"), (2, "cut", "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["lines_cut"]) for r in lines.remove_boilerplate(df, 2).collect()}
+    assert got[1] == ("\n".join(f"own {i}" for i in range(0, 200_000, 3)), 133_333)
 
 
 def test_many_sites_and_near_threshold(spark):
     rows = [(i, f"own {i} words\nshared by all\n" + ("edge line\n" if i < 300 else "") + ("just under\n" if i < 299 else ""), f"s{i}") for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = lines.remove_boilerplate(df, 300, 0.9)
-    assert sorted(repr((r["doc_id"], r["text"], r["lines_in"], r["lines_cut"])) for r in got.collect()) == brute(df.collect(), 300, 0.9)
+    assert rows_of(lines.remove_boilerplate(df, 300)) == brute(df.collect(), 300)
 
 
 def test_plan_has_no_python(documents):
