@@ -33,7 +33,8 @@ def line_rows(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, source, pos, line, n): one row for each line that is not blank; line and n identify it."""
     trimmed = F.btrim("raw", F.lit(EDGE))
     return (
-        documents.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
+        documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), "text")  # one hash a text, not one a line
+        .select("doc_id", "text_hash", "source", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
         .select("doc_id", "text_hash", "source", "pos", F.xxhash64(trimmed).alias("line"), F.octet_length(trimmed).alias("n"))
         .where("n > 0")
     )
