@@ -12,7 +12,10 @@ paths of a text leave the best one in the n - 1 cells with the smallest such los
 searched, and then a chain of their alternatives.
 
 Nulls and the like: a null text counts as empty; an empty text has no pieces and no alternatives; a row without
-a doc_id is encoded as any other; repeated rows get a row each; an empty table gives an empty result. A literal word mark in a text
+a doc_id is encoded as any other; repeated rows get a row each; an empty table gives an empty result; columns other than
+doc_id and text are not read, ``decode`` replaces columns named text and ids_crc32. Of equal scores the best path is the
+one whose last piece is longest, from the end on; alternatives of equal loss are taken from the leftmost cells, and within
+a cell in the order of the search, which the text alone decides. Time grows with a text's length, with or without spaces. A literal word mark in a text
 goes to bytes, so decoding gives back every text exactly (a lone U+10FFFF aside, which is read as a word mark).
 """
 
@@ -32,6 +35,8 @@ from gridols.llm.langid import Index
 MARK, LITERAL = "▁", "\U0010ffff"
 FALLBACK = 10.0
 CELL = r" +[^ \n]*|[^ \n]+|\n"
+#: Cells over this length are walked edge by edge; the results are the same.
+LONG = 128
 #: Cells whose segmentation a worker keeps.
 CACHE_CELLS = 150_000
 #: Cells whose alternatives a worker keeps.
@@ -44,7 +49,10 @@ ENCODED_NAMES = ["doc_id", "ids", "score", "alternatives", "ids_crc32", "decoded
 
 
 def a_star(n: int, into, forward, count: int):
-    """The ``count`` best paths to node n as (score, labels), best first; into(j) lists (i, score, label) edges to j."""
+    """The ``count`` best paths to node n as (score, labels), best first; into(j) lists (i, score, label) edges to j.
+
+    Of equal estimates the newest is followed first, so that paths that tie are finished one by one.
+    """
     heap, made = [(-forward[n], 0, 0.0, n, None)], 1
     while heap and count:
         _, _, done, j, tail = heapq.heappop(heap)
@@ -57,7 +65,7 @@ def a_star(n: int, into, forward, count: int):
             yield done, path
             continue
         for i, s, label in into(j):
-            heapq.heappush(heap, (-(done + s + forward[i]), made, done + s, i, (label, tail)))
+            heapq.heappush(heap, (-(done + s + forward[i]), -made, done + s, i, (label, tail)))
             made += 1
 
 
@@ -106,6 +114,9 @@ class Pieces:
         """By cell: the best path's ids (int32 bytes), its score, and what the second-best path loses (inf: none)."""
         out, held, size = {}, [], 0
         for c in sorted(cells, key=len):
+            if len(c) > LONG:
+                out[c] = self.segment_long(c)
+                continue
             held.append(c)
             size = len(held) * len(c)
             if size > 1 << 16:
@@ -182,9 +193,54 @@ class Pieces:
                 ids = np.array(path, np.int32).tobytes()
             out[c] = (ids, float(top[k]), float(loss[k]))
 
+    def lattice(self, cell: str):
+        """(from, to, piece, score) of the edges of one cell, by to and then from; piece is -1 where a character goes to bytes."""
+        cp = np.frombuffer(cell.replace(" ", MARK).encode("utf-32-le"), "<u4")
+        h, at, found = np.zeros(len(cp), np.uint64), np.arange(len(cp)), []
+        for width in range(1, self.longest + 1):
+            at = at[at + width <= len(cp)]
+            if not len(at):
+                break
+            h[at] = h[at] * PRIME + cp[at + width - 1] + np.uint64(1)
+            row = self.index.find(h[at])
+            piece = np.where(row >= 0, self.piece_at[row], -1)
+            hit = piece >= 0 if width > 1 else np.ones(len(at), bool)
+            found.append((at[hit], at[hit] + width, piece[hit]))
+            at = at[row >= 0]
+        i, j, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((i, j))
+        i, j, piece = i[order], j[order], piece[order]
+        return i, j, piece, np.where(piece >= 0, self.scores[piece], self.fallback)
+
+    def segment_long(self, cell: str) -> tuple[bytes, float, float]:
+        """What ``segment`` gives, for one cell of any length: all places at a time, then one walk over the edges each way."""
+        i, j, piece, score = self.lattice(cell)
+        n = len(cell)
+        best, tail, back, used = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0], [0] * (n + 1), [-1] * (n + 1)
+        edges = list(zip(i.tolist(), j.tolist(), piece.tolist(), score.tolist(), strict=True))
+        for a, b, p, s in edges:
+            if best[a] + s > best[b]:
+                best[b], back[b], used[b] = best[a] + s, a, p
+        for a, b, _, s in reversed(edges):
+            tail[a] = max(tail[a], s + tail[b])
+        path, on, at = [], np.zeros(n + 1, bool), n
+        while at:
+            on[at] = True
+            path.append([used[at]] if used[at] >= 0 else self.of_char(cell[back[at]].replace(" ", MARK)))
+            at = back[at]
+        off = ~(on[j] & (np.array(back)[j] == i))
+        through = np.array(best)[i] + score + np.array(tail)[j]
+        return np.array([x for ids in reversed(path) for x in ids], np.int32).tobytes(), best[n], float((best[n] - through[off]).min(initial=np.inf))
+
     def edges_of(self, cell: str):
         """(into, forward) of a cell's lattice for the search; labels are tuples of ids."""
         s = cell.replace(" ", MARK)
+        if len(cell) > LONG:
+            into, forward = [[] for _ in range(len(s) + 1)], [0.0] + [-np.inf] * len(s)
+            for i, j, p, x in zip(*(c.tolist() for c in self.lattice(cell)), strict=True):
+                into[j].append((i, x, (p,) if p >= 0 else tuple(self.of_char(s[i]))))
+                forward[j] = max(forward[j], forward[i] + x)
+            return into.__getitem__, forward
         into = [[] for _ in range(len(s) + 1)]
         forward = [0.0] + [-np.inf] * len(s)
         for j in range(1, len(s) + 1):
@@ -233,7 +289,9 @@ class Pieces:
 
     def text_alternatives(self, cells, best, loss, score, n_best):
         loss = np.array(loss)
-        near = np.argsort(loss, kind="stable")[: n_best - 1] if len(loss) < 64 else np.sort(np.argpartition(loss, min(n_best, len(loss)) - 1)[: n_best - 1])
+        last = np.partition(loss, n_best - 2)[n_best - 2] if len(loss) >= n_best else np.inf
+        able = np.flatnonzero(loss <= last)
+        near = able[np.argsort(loss[able], kind="stable")][: n_best - 1]  # the smallest losses; of equal ones the leftmost
         near = sorted(int(k) for k in near if np.isfinite(loss[k]))
         ways = [[(0.0, None), *self.alternatives(cells[k], best[k], n_best - 1)] for k in near]
         chain = a_star(len(near), lambda j: [(j - 1, -lost, (j - 1, ids)) for lost, ids in ways[j - 1]], [0.0] * (len(near) + 1), n_best)

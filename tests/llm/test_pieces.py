@@ -58,6 +58,43 @@ def test_n_best_equals_all_paths_sorted(model, text, n):
     assert all(model.decode(g) == text for g in got)
 
 
+def test_long_cells_are_segmented_as_short_ones(model):
+    rng = np.random.default_rng(3)
+    cells = ["".join(rng.choice(list(alphabet), size)) for alphabet in ("the inga".replace(" ", ""), "a", "xqz", "漢字of", "\U0010ffffa", "ABCDabcd0123+/=") for size in (1, 2, 7, 40, 300)]
+    for c in [*cells, *(" " + c for c in cells), "   ", " \U0010ffff"]:
+        short = {}
+        model.segment_chunk([c], short)
+        assert model.segment_long(c) == short[c], c
+        if len(c) <= pieces.LONG:
+            continue
+        into, forward = model.edges_of(c)
+        assert forward[-1] == short[c][1] and [s for s, _ in pieces.a_star(len(c), into, forward, 2)] == [short[c][1], short[c][1] - short[c][2]]
+
+
+@pytest.mark.parametrize("cells", [3, 20, 63, 64, 65, 400])
+def test_of_equal_losses_the_leftmost_cells_are_edited(model, cells):
+    ((ids, score, more),) = model.encode([" ".join(["something"] * cells)], 4)
+    per = len(ids) // cells
+    assert len(ids) == per * cells and len(more) == 3
+    assert [[e["piece_from"] // per for e in a["edits"]] for a in more] == [[0], [1], [2]] and len({a["score"] for a in more}) == 1
+
+
+def test_a_long_text_without_spaces(model):
+    rng = np.random.default_rng(5)
+    for text in ("".join(rng.choice(list("ABCDEFabcdef0123456789+/"), 200_000)), "a" * 100_000, "漢字仮名交" * 20_000):
+        ((ids, score, more),) = model.encode([text], 4)
+        assert model.decode(ids.tolist()) == text
+        assert score == sum(model.scores[i] if model.raw[i] and i not in model.byte_id.values() else 0 for i in ids) + model.fallback * fallbacks(model, ids)
+        for a in more:
+            assert a["score"] <= score and model.decode(applied(ids.tolist(), a["edits"])) == text
+
+
+def fallbacks(model, ids):
+    """Characters that went to bytes: those that do not continue a character."""
+    byte = {i: b for b, i in model.byte_id.items()}
+    return sum(i in byte and byte[i] & 0xC0 != 0x80 for i in ids.tolist())
+
+
 def test_documents(spark, documents):
     rows = pieces.decode(pieces.encode(documents, PATH), PATH).collect()
     text = {r["doc_id"]: r["text"] for r in documents.collect()}
