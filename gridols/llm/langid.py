@@ -4,15 +4,19 @@ Each language has a context tree of orders 0 to ``ORDER`` with the byte counts o
 length is that of its longest context, or the escape's there and then that of the next shorter context (escape method
 C: a context seen T times before D distinct bytes escapes with D / (T + D); below order 0 all 256 bytes are alike).
 Statistics are frozen: a text's code lengths are exact sums over all its bytes, and the language with the shortest
-code is predicted. The trees are fitted on a bounded sample: of each language at most ``sample_docs`` documents of at
-most ``SAMPLE_BYTES`` each, chosen by the hash of the doc_id.
+code is predicted, of equal codes the alphabetically first one. The trees are fitted on a bounded sample: of each language at
+most ``sample_docs`` whole documents, chosen by the hash of the doc_id; of a doc_id with several rows one is learned from.
+
+Nothing is known of a text but its bytes: a language that has only long documents is learned from them whole.
 
 For speed, the trees of all languages are merged into one table of byte grams for each order, whose rows hold the
-exact code length of the gram's last byte in every language; most bytes then take a single look-up.
+exact code length of the gram's last byte in every language; most bytes then take a single look-up. The tables have four
+bytes a sampled gram and language, so a corpus of very many languages wants a smaller sample of each.
 
 Nulls and the like: a null text, and one without a letter, is ``und`` with score 0; rows with a null lang are not
 learned from; rows without a doc_id are left out; repeated rows get a row each; if nothing can be learned from, all
-is ``und``; an empty table gives an empty result.
+is ``und``; columns other than doc_id, text and lang are not read, and ``keep_known`` keeps columns of any name; long texts
+are scored whole, in pieces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from pyspark.sql import functions as F
 from gridols.llm.common import fold, hashed_sample, texts, without
 
 ORDER = 4
-SAMPLE_BYTES = 65536
 PAD = b"\n" * ORDER
 LETTER = r"[^\W\d_]"
 
@@ -122,8 +125,9 @@ class Model:
         out[left] += 8.0
         return out
 
-    def score(self, batch: list[bytes], piece: int = 1 << 20) -> np.ndarray:
+    def score(self, batch: list[bytes], piece: int | None = None) -> np.ndarray:
         """Total code lengths of whole texts, a row each."""
+        piece = piece or (1 << 22) // len(self.langs)
         total = np.zeros((len(batch), len(self.langs)))
         held, owners, size = [], [], 0
         for i, b in enumerate(batch):
@@ -151,8 +155,10 @@ class Model:
 def training_counts(documents: DataFrame, learn: Column, sample_docs: int) -> DataFrame:
     """(lang, k, gram, n) over the sample of the labelled documents that ``learn`` admits."""
     labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn & F.octet_length("text").between(1, SAMPLE_BYTES))
-    chosen = hashed_sample(labelled.select("lang", "doc_id"), "lang", sample_docs)  # at most sample_docs rows a language
+    labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn & (F.octet_length("text") > 0))
+    ids = labelled.select("lang", "doc_id").distinct()
+    chosen = hashed_sample(ids, "lang", sample_docs)  # at most sample_docs rows a language
+    one = labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -160,11 +166,11 @@ def training_counts(documents: DataFrame, learn: Column, sample_docs: int) -> Da
             data = [prepared(t) for t in batch.column(1).to_pylist()]
             for lang in set(langs):
                 for k in range(ORDER + 1):
-                    found = [grams(np.frombuffer(PAD + d, np.uint8), k) for d, x in zip(data, langs, strict=True) if x == lang and d]
+                    found = [grams(np.frombuffer(PAD + d, np.uint8), k) for d, x in zip(data, langs, strict=True) if x == lang]
                     keys, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "k", "gram", "n"])
 
-    return labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text").mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    return one.select("lang", "text").mapInArrow(run, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(documents: DataFrame, learn: Column | None = None, sample_docs: int = 300) -> Model | None:

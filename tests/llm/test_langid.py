@@ -46,6 +46,32 @@ def test_code_lengths_are_exact(spark, documents):
         np.testing.assert_allclose(got, want, rtol=2e-5, atol=1e-3)
 
 
+def test_query_equals_brute_force(spark, documents):
+    rows = [r for r in documents.collect() if len(r["text"]) < 1500][:80]
+    held = lambda r: crc32(str(r["doc_id"]).encode()) % 4 == 2
+    plain = {x: Plain([r["text"] for r in rows if r["lang"] == x and not held(r)]) for x in sorted({r["lang"] for r in rows if not held(r)})}
+    for r in langid.identify(spark.createDataFrame(rows)).collect():
+        text = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
+        bits = {x: p.bits(text) for x, p in plain.items()}
+        best = min(bits.values())
+        assert r["lang_pred"] in {x for x, b in bits.items() if b < best + 1e-2} and r["held_out"] == held(next(x for x in rows if x["doc_id"] == r["doc_id"]))
+        assert abs(r["score"] - 1 / sum(2 ** max(best - b, -1000) for b in bits.values())) < 0.05
+        assert abs(r["bits_per_byte"] - best / len(langid.prepared(text))) < 1e-3
+
+
+def test_a_language_of_long_documents_alone_is_learned(spark):
+    words = {"aa": "lorem ipsum dolor sit amet ", "bb": "xyzzy plugh frobnitz quux "}
+    rows = [(10 * k + i, (w * 8000)[i:], x) for k, (x, w) in enumerate(words.items()) for i in range(8)] + [(90, words["bb"], None), (91, words["aa"], None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[90] == "bb" and got[91] == "aa"
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    rows = [(1, "one text of words", "en")] * 500 + [(3, "andere wörter hier", "de"), (4, "more of words", "en")]
+    counts = langid.training_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), 2)
+    assert {(r["lang"]): r["s"] for r in counts.where("k = 0").groupBy("lang").agg(F.sum("n").alias("s")).collect()} == {"en": 30, "de": 19}
+
+
 def test_held_out_accuracy(documents):
     lang = {r["doc_id"]: r["lang"] for r in documents.collect()}
     rows = langid.identify(documents).collect()
@@ -70,8 +96,16 @@ def test_odd_rows_and_none(odd, none, spark):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+#: A language that is not among the documents' four, two scripts, random letters, random base-64.
+FOREIGN = (
+    "Ovo je tekst koji govori o ničemu posebnom, ali ga svejedno čitamo jer nemamo što drugo raditi danas.",
+    "Привет мир это русский текст для проверки языка", "これは日本語のテキストです。言語識別のテスト",
+    "eszycid pyopumzgdpa mntyyawoixz qkwjv xzzptq bvkkgm", "5WQB6zaTW62FzQQx+74B0afDa69W16ZZkq/7yPPw",
+)
+
+
 def test_rejects_what_no_language_explains(spark, documents):
-    odd = spark.createDataFrame([(10_001, "1234 5678 !!"), (10_002, None), (10_003, "㐀㐁㐂㐃㐄㐅㐆㐇㐈㐉㐊㐋㐌㐍㐎㐏" * 3), (None, "no id")], "doc_id long, text string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("lang", "source")), F.lit(1).cast("long").alias("n_chars"))
+    odd = spark.createDataFrame([(10_001, "1234 5678 !!"), (10_002, None), (10_003, "㐀㐁㐂㐃㐄㐅㐆㐇㐈㐉㐊㐋㐌㐍㐎㐏" * 3), (None, "no id"), *((10_010 + i, t) for i, t in enumerate(FOREIGN))], "doc_id long, text string").select("*", *(F.lit(None).cast("string").alias(c) for c in ("lang", "source")), F.lit(1).cast("long").alias("n_chars"))
     kept = langid.keep_known(documents.unionByName(odd))
     assert kept.columns == documents.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in documents.select("doc_id").collect()} | {None}
