@@ -10,14 +10,19 @@ Blobs lie in a table (shard, blob_no, first_doc, last_doc, blob); a shard is one
 reached by its shard's ranges, the index and one frame. The dictionary is trained on the serialized id arrays of a
 bounded sample of documents and stored beside the blobs under its hash; a reader refuses any other.
 
+A shard's ids are counted by the range that it holds, so shards may differ in size; ``spark.sql.shuffle.partitions`` or
+``shards`` says how many there are.
+
 Nulls and the like: a null text counts as empty, and an empty document is the end id alone; rows without a doc_id are
-left out; repeated rows are separate documents; an empty table writes no blob and reads back as no rows. Texts are
-encoded whole, however long.
+left out; repeated rows are separate documents, and documents of one doc_id lie in the order of their texts; an empty
+table writes no blob and reads back as no rows. Texts are encoded whole, however long. Columns other than doc_id and text
+are not read, so their names do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 
@@ -30,16 +35,32 @@ from gridols.llm.common import shared_dir, texts
 
 BLOB = "shard int, blob_no int, first_doc long, last_doc long, n_tokens long, blob binary"
 HEAD = "<4sHHI32s"
+#: Fixed value: a splitter's pattern whose matches hold no white space; all else is dropped.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 800_000
 
 
+def splits_at_spaces(config: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words: it lowers case, keeps nothing of white space, and has no other step."""
+    steps = lambda part, inner: (part or {}).get(inner, [part] if part else [])
+    normal, split = steps(config["normalizer"], "normalizers"), steps(config["pre_tokenizer"], "pretokenizers")
+    if {x["type"] for x in normal} - {"NFC", "Replace", "Lowercase"} or not any(x["type"] == "Lowercase" for x in normal):
+        return False
+    if any(x["type"] == "Replace" and (x["pattern"], x["content"]) != ({"Regex": r"\s+"}, " ") for x in normal):
+        return False
+    if len(split) != 2 or [x["type"] for x in split] != ["Split", "ByteLevel"] or split[1].get("use_regex", True) or split[1]["add_prefix_space"]:
+        return False
+    words_alone = split[0]["pattern"].get("Regex") == WORDS and split[0]["behavior"] == "Removed" and split[0]["invert"]
+    return bool(words_alone) and config["model"]["type"] == "BPE" and not config["post_processor"] and all(x["content"].startswith("<|") for x in config["added_tokens"])
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct word.
+    """Ids of whole texts by the tokenizers library, asked once for each distinct word where that is the same.
 
-    The vocabulary lowers case and its splitter drops white space, and no piece of it reaches over a space or line
-    feed; so a text's ids are those of its words in turn, with A-Z lowered. Texts that may hold a special token go to
-    the library whole.
+    If a vocabulary lowers case and its splitter drops white space (checked when it is read), no piece of it reaches over
+    a space or line feed; so a text's ids are those of its words in turn, with A-Z lowered. Texts that may hold a special
+    token go to the library whole, and so does every text if the vocabulary is not of this kind.
     """
 
     def __init__(self, path: str):
@@ -51,6 +72,10 @@ class WordEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        self.by_words = splits_at_spaces(json.loads(self.tokenizer.to_str()))
+
+    def whole(self, text: bytes) -> bool:
+        return not self.by_words or b"<|" in text
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -60,7 +85,7 @@ class WordEncoder:
         known = self.known
         flat, cuts = [], [0]
         for t in batch:
-            flat += [] if not t or b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ")
+            flat += [] if not t or self.whole(t) else t.lower().replace(b"\n", b" ").split(b" ")
             cuts.append(len(flat))
         got = list(map(known.get, flat))
         missed = [i for i, v in enumerate(got) if v is None]
@@ -74,7 +99,7 @@ class WordEncoder:
         if len(known) < CACHE_WORDS:
             known.update(fresh)
         last = self.pack([end])
-        return [(self.pack(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) if t and b"<|" in t else b"".join(got[a:b])) + last for t, a, b in zip(batch, cuts, cuts[1:])]
+        return [(self.pack(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids) if t and self.whole(t) else b"".join(got[a:b])) + last for t, a, b in zip(batch, cuts, cuts[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -84,20 +109,36 @@ def encoder(path: str) -> WordEncoder:
     return _encoders.setdefault(path, _encoders.get(path) or WordEncoder(path))
 
 
-def train_dictionary(documents: DataFrame, vocabulary: str, end: int, sample_docs: int, dict_bytes: int) -> bytes:
-    """A dictionary from at most ``sample_docs`` documents (of at most 64 KB each), chosen by the hash of their id."""
+def train_dictionary(documents: DataFrame, vocabulary: str, end: int, sample_docs: int, dict_bytes: int, piece_ids: int = 512) -> bytes:
+    """A dictionary from at most ``sample_docs`` documents, chosen by the hash of their id.
+
+    Whole texts are encoded where they lie and cut into pieces of ``piece_ids`` ids; of these, ``4 * sample_docs`` chosen by
+    hash are the samples, so long documents are trained on as well, and what reaches the driver is bounded. Where the
+    samples are too few or too alike to train on, their own bytes are the dictionary. An empty table has an empty one.
+    """
+    rows = texts(documents).select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    ids = [r[0] for r in rows.where("n > 0").select("h", "doc_id").orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct().collect()]
+
+    def run(batches):
+        enc = encoder(vocabulary)
+        for batch in batches:
+            for doc, data in zip(batch.column(0).to_pylist(), enc.many(batch.column(1).to_pylist(), end), strict=True):
+                cut = [data[at : at + piece_ids * enc.width] for at in range(0, len(data), piece_ids * enc.width)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], ["doc_id", "k", "piece"])
+
+    chosen = texts(documents).where(F.col("doc_id").isin(ids)).select("doc_id", F.col("text").cast("binary")) if ids else None
+    pieces = chosen.mapInArrow(run, "doc_id long, k int, piece binary").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "piece").limit(4 * sample_docs).select("piece").collect() if ids else []
+    return trained([bytes(r[0]) for r in pieces], dict_bytes)
+
+
+def trained(samples: list[bytes], dict_bytes: int) -> bytes:
     import zstandard
 
-    short = texts(documents).where("octet_length(text) BETWEEN 1 AND 65536")
-    ids = [r[0] for r in short.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs).collect()]
-    sample = [r[0] for r in short.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").limit(sample_docs).select(F.col("text").cast("binary")).collect()] if ids else []
-    arrays = encoder(vocabulary).many(list(map(bytes, sample)), end)
-    if len(arrays) < 16:
-        return b""
+    size = min(dict_bytes, max(1024, sum(map(len, samples)) // 8))
     try:
-        return zstandard.train_dictionary(min(dict_bytes, max(1024, sum(map(len, arrays)) // 8)), arrays).as_bytes()
-    except zstandard.ZstdError:  # too little variety to train on
-        return b""
+        return zstandard.train_dictionary(size, samples).as_bytes() if samples else b""
+    except zstandard.ZstdError:  # a dictionary of plain content serves as well
+        return b"".join(samples)[-size:].rjust(8, b"\0")
 
 
 def write(documents: DataFrame, path: str, vocabulary: str, end: int = 2, shards: int | None = None, level: int = 3, sample_docs: int = 1000, dict_bytes: int = 65536, blob_docs: int = 2048, blob_bytes: int = 4 << 20) -> None:

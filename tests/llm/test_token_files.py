@@ -39,6 +39,30 @@ def test_dictionary_is_trained_and_checked(spark, documents, tmp_path):
         token_files.open_blob(blob, b"other")
 
 
+@pytest.mark.parametrize("texts", [["one document"], ["a b c d e"] * 3, ["long words of one document " * 40_000], ["x"], ["same"] * 40])
+def test_every_table_with_text_has_a_dictionary(spark, texts, tmp_path):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write(df, str(tmp_path / "t"), PATH)
+    assert len(token_files.dictionary_of(spark, str(tmp_path / "t"))) >= 8
+    got = sorted(tuple(r) for r in token_files.read_back(spark, str(tmp_path / "t"), with_ids=True).collect())
+    assert [list(g[4]) for g in got] == [e[4] for e in expected(df.collect())]
+
+
+def test_a_vocabulary_that_keeps_white_space_is_given_whole_texts(spark, documents, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_files.encoder(PATH).by_words and not token_files.encoder(path).by_words
+    t = Tokenizer.from_file(path)
+    token_files.write(documents.limit(20), str(tmp_path / "w"), path)
+    got = {r["doc_id"]: list(r["ids"]) for r in token_files.read_back(spark, str(tmp_path / "w"), with_ids=True).collect()}
+    assert got == {r["doc_id"]: [*t.encode(r["text"], add_special_tokens=False).ids, 2] for r in documents.limit(20).collect()}
+
+
+def test_other_columns_may_have_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one text", 5, "s", "b")], "doc_id long, text string, start long, shard string, blob string")
+    token_files.write(df, str(tmp_path / "c"), PATH)
+    assert [tuple(r) for r in token_files.read_back(spark, str(tmp_path / "c")).collect()] == [e[:4] for e in expected(df.collect())]
+
+
 def test_none(spark, none, tmp_path):
     token_files.write(none, str(tmp_path / "n"), PATH)
     assert token_files.read_back(spark, str(tmp_path / "n")).count() == 0
