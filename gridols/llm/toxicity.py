@@ -1,25 +1,30 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer reads a clause word by word and writes a class for each: insult (I), threat (T), target (Y),
-negation (N), reported speech (R) or other (O). Three small transducers are composed on top of it: negation marks
-insults and threats shortly after a negation, reported speech marks those after a verb of saying or inside quotes, and
-the clause grammar gathers what a clause holds and writes one pattern at its end, such as ``insult+target``. The unit
-that counts is a matched clause: a target or a negation by itself is no match. A document's matched clauses, summed by
-pattern with their lexicon weights, go through a logistic function.
-
-The insult lexicon (word stems with log-odds weights) and the function are learned from labels; targets, negations,
-threats and verbs of saying are the fixed words below. Both are fitted on a bounded sample: at most ``sample_docs``
-labelled documents of each class, of at most ``SAMPLE_BYTES`` each, chosen by the hash of the doc_id.
+Four transducers are composed, and weights add along a path. The lexicon reads a clause letter by letter and writes, at
+each word's end, a class with a weight: insult (I), threat (T), target (Y), negation (N), reported speech (R) or other
+(O); quotes are written as Q. Negation marks insults and threats shortly after a negation, at a cost; reported speech
+marks those after a verb of saying or inside quotes, at a cost; the clause grammar gathers what a clause holds, adds
+weight for a target, and writes one pattern at its end, such as ``insult+target``. The composed machine's states are made
+as texts reach them. The unit that counts is a matched clause: a target or a negation by itself is no match. A document's
+matched clauses, summed by pattern with their paths' weights, go through a logistic function. An automaton of the insult
+and threat stems tells which clauses are worth reading; what it finds decides nothing.
+
+The insult lexicon (word stems with log-odds weights, besides the fixed insults) and the function are learned from labels;
+targets, negations, threats and verbs of saying are the fixed words below. Both are fitted on a bounded sample: at most
+``sample_docs`` labelled documents of each class, whole, chosen by the hash of the doc_id.
 
 Nulls and the like: a null or empty text has no clauses and gets the score of such documents; labels whose doc_id or
 toxic is null are ignored, several labels of a document count as their largest; rows without a doc_id are left out;
-repeated rows get a row each; without usable labels the fixed insults and prior weights score; an empty table gives an
+repeated rows get a row each and are learned from once, several texts under one doc_id by the least of them; a word that
+several stems begin takes the one of largest weight, of equal ones the shortest; without usable labels the fixed insults
+and prior weights score; columns of any other name are not read; time grows with a text's length; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,6 @@ from pyspark.sql import functions as F
 
 from gridols.llm.common import fold, hashed_sample, texts
 
-SAMPLE_BYTES = 65536
 #: Fixed words (English, German, French, Spanish).
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "dumm", "trottel", "abschaum", "imbécile", "connard", "ordure", "estúpido", "imbécil", "basura")
 THREATS = ("kill", "hurt", "destroy", "töte", "umbring", "schlage", "tuer", "frapper", "matar", "golpear")
@@ -40,49 +44,87 @@ WORD = r"[^\W\d_]+"
 TOKEN = rf"{WORD}|[{QUOTES}]"
 #: Words that a negation reaches over.
 REACH = 3
+#: Arc weights: of fixed insults and threats, of a clause's first target, and of a negated or reported match.
+FIXED, DIRECTED, NEGATED, REPORTED = 1.0, 1.0, -1.0, -0.5
 PATTERNS = [f"{base}{target}{mark}" for base in ("insult", "threat") for target in ("", "+target") for mark in ("", "/negated", "/reported")]
 
 
 class Transducer:
-    """Deterministic, letter to letter: (state, symbol) to (written symbol, weight, next state); state 0 starts."""
+    """Deterministic, letter to letter: (state, symbol) to (written symbol, weight, next state); state 0 starts.
+
+    The symbol None stands for all that a state has no arc for; a written "" is nothing.
+    """
 
     def __init__(self, arcs: dict):
         self.arcs = arcs
 
+    def step(self, state, symbol):
+        return self.arcs.get((state, symbol)) or self.arcs[state, None]
+
     def compose(self, after: Transducer) -> Transducer:
         """The transducer that writes what ``after`` writes on reading what this one writes; weights add."""
-        number, arcs, todo = {(0, 0): 0}, {}, [(0, 0)]
-        alphabet = {x for _, x in self.arcs}
-        while todo:
-            pair = todo.pop()
-            for x in alphabet:
-                if (pair[0], x) not in self.arcs:
-                    continue
-                y, w, p = self.arcs[pair[0], x]
-                if (pair[1], y) not in after.arcs:
-                    continue
-                z, v, q = after.arcs[pair[1], y]
-                if (p, q) not in number:
-                    number[p, q] = len(number)
-                    todo.append((p, q))
-                arcs[number[pair], x] = (z, w + v, number[p, q])
-        return Transducer(arcs)
+        return Composed(self, after)
 
     def run(self, symbols):
         state, out = 0, []
         for x in symbols:
-            y, w, state = self.arcs[state, x]
+            y, w, state = self.step(state, x)
             out.append((y, w))
         return out
 
 
+class Composed(Transducer):
+    """States are pairs of states, numbered when they are first reached; arcs are kept once they are found."""
+
+    def __init__(self, first: Transducer, after: Transducer):
+        super().__init__({})
+        self.first, self.after, self.pairs, self.number = first, after, [(0, 0)], {(0, 0): 0}
+
+    def step(self, state, symbol):
+        arc = self.arcs.get((state, symbol))
+        if arc is None:
+            p, q = self.pairs[state]
+            y, w, p = self.first.step(p, symbol)
+            z, v, q = self.after.step(q, y) if y else ("", 0.0, q)
+            to = self.number.setdefault((p, q), len(self.pairs))
+            if to == len(self.pairs):
+                self.pairs.append((p, q))
+            arc = self.arcs[state, symbol] = (z, w + v, to)
+        return arc
+
+
+def lexicon(stems: dict[str, float]) -> Transducer:
+    """Reads letters, a blank after each word, quotes and the clause's end; writes each word's class with its weight.
+
+    A trie of all entries: stems match the beginnings of words, the other classes whole words.
+    """
+    begins = {x: ("T", FIXED) for x in THREATS} | {x: ("I", w) for x, w in stems.items()}
+    whole = {x: c for c, entries in (("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS)) for x in entries}
+    nodes = {x[:k]: None for x in [*begins, *whole] for k in range(len(x) + 1)}
+    place = {x: i for i, x in enumerate(sorted(nodes, key=lambda x: (len(x), x)))}  # "" is state 0
+    best, arcs, rest = {}, {}, {}
+    for x in place:
+        held, own = best.get(x[:-1]) if x else None, begins.get(x)
+        best[x] = own if own and (held is None or own[1] > held[1]) else held
+    for found in dict.fromkeys(best.values()):  # what follows a word's known beginning does not matter
+        rest[found] = len(place) + len(rest)
+        arcs[rest[found], None], arcs[rest[found], " "] = ("", 0.0, rest[found]), (*(found or ("O", 0.0)), 0)
+    for x, i in place.items():
+        arcs[i, None] = ("", 0.0, rest[best[x]])
+        arcs[i, " "] = (*(best[x] or (whole.get(x, "O"), 0.0)), 0)
+        if x:
+            arcs[place[x[:-1]], x[-1]] = ("", 0.0, i)
+    arcs[0, "#"] = ("#", 0.0, 0)
+    return Transducer(arcs | {(0, q): ("Q", 0.0, 0) for q in QUOTES})
+
+
 def negation() -> Transducer:
     """Writes i and t for insults and threats at most REACH words after a negation."""
     arcs = {}
     for left in range(REACH + 1):
         for x in "ITYROQ#":
-            y = x.lower() if left and x in "IT" else x
-            arcs[left, x] = (y, 0.0, 0 if x == "#" else max(0, left - 1))
+            hit = bool(left) and x in "IT"
+            arcs[left, x] = (x.lower() if hit else x, NEGATED * hit, 0 if x == "#" else max(0, left - 1))
         arcs[left, "N"] = ("N", 0.0, REACH)
     return Transducer(arcs)
 
@@ -92,7 +134,8 @@ def reported() -> Transducer:
     arcs = {}
     for state in range(4):  # 1: a verb of saying was read, 2: inside quotes
         for x in "ITitYNO#":
-            arcs[state, x] = ({"I": "J", "T": "U"}.get(x, x) if state else x, 0.0, state & 2 if x == "#" else state)
+            hit = bool(state) and x in "IT"
+            arcs[state, x] = ({"I": "J", "T": "U"}[x] if hit else x, REPORTED * hit, state & 2 if x == "#" else state)
         arcs[state, "R"] = ("R", 0.0, state | 1)
         arcs[state, "Q"] = ("Q", 0.0, state ^ 2)
     return Transducer(arcs)
@@ -107,7 +150,7 @@ def clause() -> Transducer:
             state = target * len(order) + k
             for x in "IiJTtUYNROQ":
                 nk = max(k, order.index(x)) if x in order else k
-                arcs[state, x] = ("", 0.0, (1 if x == "Y" else target) * len(order) + nk)
+                arcs[state, x] = ("", DIRECTED * (x == "Y" and not target), (1 if x == "Y" else target) * len(order) + nk)
             name = ("insult" if held in "iJI" else "threat") + "+target" * target + ("/negated" if held in "it" else "/reported" if held in "JU" else "") if held else ""
             arcs[state, "#"] = (name, 0.0, 0)
     return Transducer(arcs)
@@ -116,52 +159,54 @@ def clause() -> Transducer:
 class Grammar:
     """Finds the clauses that a stem occurs in and runs the composed transducer over them."""
 
+    #: Words whose steps a worker keeps.
+    KEPT = 200_000
+
     def __init__(self, stems: dict[str, float]):
         import ahocorasick
 
         self.stems = stems
         self.automaton = ahocorasick.Automaton()
-        for s, w in stems.items():
-            self.automaton.add_word(s, (len(s), "I", w))
-        for s in THREATS:
-            if s not in stems:
-                self.automaton.add_word(s, (len(s), "T", 1.0))
+        for s in {*stems, *THREATS}:
+            self.automaton.add_word(s, len(s))
         self.automaton.make_automaton()
-        self.machine = negation().compose(reported()).compose(clause())
-        self.token, self.end = re.compile(TOKEN), re.compile(r"[.!?;\n]")
+        self.machine = lexicon(stems).compose(negation()).compose(reported()).compose(clause())
+        self.token, self.end, self.steps = re.compile(TOKEN), re.compile(r"[.!?;\n]"), {}
         self.place = {p: i for i, p in enumerate(PATTERNS)}
 
-    def classes(self, words, found):
-        for at, w in words:
-            if at in found:
-                yield found[at]
-            elif w in QUOTES:
-                yield "Q"
-            else:
-                yield "Y" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "O"
+    def read(self, state: int, token: str) -> tuple[float, int]:
+        """(weight, next state) of a word or quote."""
+        done = self.steps.get((state, token))
+        if done is None:
+            to, weight = state, 0.0
+            for x in token if token in QUOTES else token + " ":
+                _, w, to = self.machine.step(to, x)
+                weight += w
+            done = weight, to
+            if len(self.steps) < self.KEPT:
+                self.steps[state, token] = done
+        return done
 
     def features(self, text: str) -> np.ndarray:
         """By pattern the log of one plus its clauses' weights; then the logs of matched clauses, distinct stems, and clauses per 1000 letters."""
         text = (text or "").lower()
-        hits: dict[int, tuple[str, float]] = {}
-        for end, (n, kind, w) in self.automaton.iter(text):
-            at = end - n + 1
-            if at == 0 or not text[at - 1].isalpha():
-                if w > hits.get(at, ("", -np.inf))[1]:
-                    hits[at] = (kind, w)
+        hits = sorted({at for end, n in self.automaton.iter(text) if (at := end - n + 1) == 0 or not text[at - 1].isalpha()})
         sums, clauses, kinds, done = np.zeros(len(PATTERNS)), 0, set(), -1
-        for at in sorted(hits):
+        ends = [m.start() for m in self.end.finditer(text)] if hits else []
+        for at in hits:
             if at < done:
                 continue
-            start = max(text.rfind(c, 0, at) for c in ".!?;\n") + 1
-            stop = m.start() if (m := self.end.search(text, at)) else len(text)
-            words = [(m.start(), m[0]) for m in self.token.finditer(text, start, stop)]
-            found = {p: hits[p] for p, _ in words if p in hits}
-            name = self.machine.run([*self.classes(words, {p: k for p, (k, _) in found.items()}), "#"])[-1][0]
+            k = bisect_left(ends, at)
+            start, stop = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(text)
+            state, weight = 0, 0.0
+            for token in self.token.findall(text, start, stop):
+                w, state = self.read(state, token)
+                weight += w
+            name, w, _ = self.machine.step(state, "#")
             if name:
-                sums[self.place[name]] += sum(w for _, w in found.values())
+                sums[self.place[name]] += max(0.0, weight + w)
                 clauses += 1
-                kinds |= {text[p : p + 5] for p in found}
+                kinds |= {text[p : p + 5] for p in hits[bisect_left(hits, start) : bisect_left(hits, stop)]}
             done = stop
         return np.array([*np.log1p(sums), np.log1p(clauses), np.log1p(len(kinds)), np.log1p(1000 * clauses / (len(text) + 200))])
 
@@ -175,18 +220,21 @@ def sample(documents: DataFrame, labels: DataFrame, learn: Column | None, sample
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(learn) if learn is not None else known
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = texts(documents).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    both = short.select("doc_id").join(known, "doc_id")
+    rows = texts(documents)
+    both = rows.select("doc_id").distinct().join(known, "doc_id")
     share = both.groupBy("toxic").agg(F.count("*").alias("all"))
     chosen = hashed_sample(both, "toxic", sample_docs).join(F.broadcast(share), "toxic").select("doc_id", "toxic", (F.col("all") / F.least("all", F.lit(sample_docs))).alias("weight"))
-    return short.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight")  # at most 2 * sample_docs rows
+    found = rows.join(F.broadcast(chosen), "doc_id")  # chosen has at most 2 * sample_docs rows
+    return found.groupBy("doc_id", "toxic", "weight").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "toxic", "weight")
 
 
-def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, least: int = 6, share: float = 0.01, odds: float = 3.0, most: int = 2000) -> dict[str, float]:
+def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, least: int = 6, share: float = 0.01, odds: float = 3.0) -> dict[str, float]:
     """Word stems whose documents are toxic far more often than others: the shortest that pass, with their log-odds.
 
-    A stem needs ``least`` toxic documents, and ``share`` of them all, which keeps out words of single copied documents.
+    Of equal texts one is counted. A stem needs ``least`` toxic texts, and ``share`` of them all, which keeps out words of
+    single documents that are copied with changes.
     """
+    rows = rows.select("text", "toxic").distinct()
 
     def run(batches):
         word = re.compile(WORD)
@@ -202,7 +250,7 @@ def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, least: int
         return {}
     counts = rows.select("text", "toxic").mapInArrow(run, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     weight = F.ln((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.ln((F.col("clean") + 0.5) / (sizes[0] + 1))
-    found = counts.where(F.col("toxic") >= max(least, share * sizes[1])).select("stem", weight.alias("w"), "toxic").where(F.col("w") >= odds).orderBy(F.desc("toxic"), "stem").limit(most).collect()
+    found = counts.where(F.col("toxic") >= max(least, share * sizes[1])).select("stem", weight.alias("w")).where(F.col("w") >= odds).collect()  # at most the stems of 1 / share texts
     stems: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (len(r["stem"]), r["stem"])):
         if not any(r["stem"][:k] in stems for k in range(shortest, len(r["stem"]))):
@@ -241,9 +289,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, sa
     from gridols.llm.common import materialize
 
     rows = materialize(sample(documents, labels, learn, sample_docs), "toxic-sample")
-    stems = learn_stems(rows)
-    if not stems:
-        return dict.fromkeys(INSULTS, 1.0), PRIOR
+    learned = learn_stems(rows)
+    stems = dict.fromkeys(INSULTS, FIXED) | learned
+    if not learned:
+        return stems, PRIOR
     got = with_features(rows, stems, "toxic int, weight double").collect()
     return stems, logistic(np.array([r["features"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["weight"] for r in got]))
 

@@ -1,3 +1,5 @@
+import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -16,17 +18,123 @@ def told(text):
 def test_patterns_of_clauses():
     assert told("A calm day. Words.") == {}
     assert told("what an idiot today") == {"insult": 2.0}
-    assert told("You are an IDIOT.") == {"insult+target": 2.0}
+    assert told("You are an IDIOT.") == {"insult+target": 3.0}
     assert told("You read books. An idiot came.") == {"insult": 2.0}  # the target is in another clause
     assert told("he is not an idiot") == {"insult+target/negated": 2.0}
     assert told("not today and not tomorrow will any idiot come") == {"insult": 2.0}  # out of the negation's reach
-    assert told("she said he is an idiot") == {"insult+target/reported": 2.0}
-    assert told('the word "idiot" stands here; scum') == {"insult/reported": 2.0, "insult": 1.0}
-    assert told("i will kill you") == {"threat+target": 1.0}
+    assert told("she said he is an idiot") == {"insult+target/reported": 2.5}
+    assert told('the word "idiot" stands here; scum') == {"insult/reported": 1.5, "insult": 1.0}
+    assert told("i will kill you") == {"threat+target": 2.0}
     assert told("idiots and scum! idiot") == {"insult": 5.0}
     assert told("subidiot") == {} and told("") == {} and told(None) == {}
 
 
+def classes(text, stems):
+    """[(class, weight)] of a clause's words, by looking each word up."""
+    begins, out = {x: ("T", 1.0) for x in tox.THREATS} | {x: ("I", w) for x, w in stems.items()}, []
+    for word in re.findall(tox.TOKEN, text):
+        found = [(begins[word[:k]][1], -k, begins[word[:k]][0]) for k in range(1, len(word) + 1) if word[:k] in begins]
+        if found:
+            out.append((max(found)[2], max(found)[0]))
+        else:
+            out.append(("Q" if word in tox.QUOTES else "Y" if word in tox.TARGETS else "N" if word in tox.NEGATIONS else "R" if word in tox.REPORTS else "O", 0.0))
+    return out
+
+
+def plain_features(text, stems):
+    """The features by rules alone: no automaton, no transducer."""
+    text, sums, count, kinds = (text or "").lower(), dict.fromkeys(tox.PATTERNS, 0.0), 0, set()
+    quoted = False
+    for part in re.split(r"[.!?;\n]", text):
+        told, weight, since, said, quoted, target, held = classes(part, stems), 0.0, 99, False, False, False, ""
+        for word, (c, w) in zip(re.findall(tox.TOKEN, part), told, strict=True):
+            since += 1
+            weight += w
+            if c in "IT":
+                negated, indirect = since <= tox.REACH, said or quoted
+                mark = c.lower() if negated else {"I": "J", "T": "U"}[c] if indirect else c
+                weight += tox.NEGATED if negated else tox.REPORTED if indirect else 0.0
+                held = max(held, mark, key=["", *"itJUIT"].index)
+                kinds.add(word[:5] if len(word) >= 5 else None)
+            elif c == "N":
+                since = 0
+            elif c == "R":
+                said = True
+            elif c == "Q":
+                quoted = not quoted
+            elif c == "Y":
+                weight, target = weight + (0.0 if target else tox.DIRECTED), True
+        if held:
+            name = ("insult" if held in "iJI" else "threat") + "+target" * target + ("/negated" if held in "it" else "/reported" if held in "JU" else "")
+            sums[name] += max(0.0, weight)
+            count += 1
+    return sums, count, kinds
+
+
+def test_machine_equals_plain_rules(spark):
+    rng = np.random.default_rng(4)
+    words = ["idiot", "idiots", "scum", "kill", "killing", "you", "he", "not", "never", "said", '"', "„", "day", "the", ".", "!", ";", "\n", "you's", "töte", "no1"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)))) for _ in range(400)]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    grammar = tox.Grammar(STEMS | {"the": 0.4, "da": 0.2, "day": 0.1})
+    for t in texts:
+        sums, count, _ = plain_features(t, grammar.stems)
+        f = grammar.features(t)
+        np.testing.assert_allclose(f[: len(tox.PATTERNS)], np.log1p([sums[p] for p in tox.PATTERNS]), atol=1e-9)
+        assert round(float(np.expm1(f[len(tox.PATTERNS)]))) == count
+
+
+def plain_stems(rows):
+    """The learned stems by counting over sets."""
+    texts = {(r[0], r[1]) for r in rows}
+    size, count = Counter(t for _, t in texts), {0: Counter(), 1: Counter()}
+    for text, toxic in texts:
+        count[toxic].update({w[:k] for w in re.findall(tox.WORD, text.lower()) for k in range(4, min(len(w), 9) + 1)})
+    weight = {s: np.log((n + 0.5) / (size[1] + 1)) - np.log((count[0][s] + 0.5) / (size[0] + 1)) for s, n in count[1].items() if n >= max(6, 0.01 * size[1])}
+    kept = {s for s, w in weight.items() if w >= 3}
+    return {s: weight[s] for s in kept if not any(s[:k] in kept for k in range(4, len(s)))}
+
+
+def test_query_equals_brute_force(spark):
+    """All labelled documents fit the sample, so the whole query can be done in plain Python."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    text = {r["doc_id"]: r["text"] for r in documents.collect()}
+    held = lambda d: crc32(str(d).encode()) % 3 == 1
+    learn = [(text[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["doc_id"] in text and not held(r["doc_id"])]
+    stems = dict.fromkeys(tox.INSULTS, tox.FIXED) | plain_stems(learn)
+    got_stems, weights = tox.fit(documents, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    assert set(got_stems) == set(stems) and all(abs(got_stems[s] - w) < 1e-9 for s, w in stems.items())
+
+    def row(t):
+        sums, count, _ = plain_features(t, stems)
+        starts = {x for x in re.finditer(tox.WORD, (t or "").lower())}
+        kinds = {(t or "").lower()[m.start() : m.start() + 5] for m in starts if any(m[0].startswith(s) for s in [*stems, *tox.THREATS])}
+        return [1.0, *np.log1p([sums[p] for p in tox.PATTERNS]), np.log1p(count), np.log1p(len(kinds)), np.log1p(1000 * count / (len(t or "") + 200))]
+
+    x, y = np.array([row(t) for t, _ in learn]), np.array([c for _, c in learn], float)
+    pull = np.array([1e-3, *[1.0] * (x.shape[1] - 1)])
+    loss_slope = x.T @ (1 / (1 + np.exp(-x @ weights)) - y) + pull * weights
+    assert np.abs(loss_slope).max() < 1e-3  # the convex loss is at its least
+    for r in tox.judge(documents, labels).collect():
+        want = 1 / (1 + np.exp(-np.array(row(text[r["doc_id"]])) @ weights))
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == held(r["doc_id"])
+
+
+def test_the_sample_is_bounded_under_repeats(spark):
+    docs = spark.createDataFrame([(1, "same text"), (2, "other text")] * 300 + [(1, "a second text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    assert sorted(tuple(r) for r in tox.sample(docs, labels, None, 200).collect()) == [("a second text", 1, 1.0), ("other text", 0, 1.0)]
+
+
+def test_long_texts_take_time_in_proportion():
+    grammar = tox.Grammar(STEMS)
+    long = "you idiot said the word漢 " * 40_000
+    assert told(long + ".") and grammar.features(long)[-3] > 0
+    many = grammar.features("what an idiot; " * 60_000)
+    assert round(float(np.expm1(many[tox.PATTERNS.index("insult")]))) == 120_000
+
+
 def test_composition_equals_running_one_after_another():
     rng = np.random.default_rng(1)
     parts = [tox.negation(), tox.reported(), tox.clause()]
