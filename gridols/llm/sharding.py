@@ -1,13 +1,17 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups (documents of equal text).
 
-Groups of at least a fixed part of a shard are packed one by one: there can only be ``shards * grain`` of them. All
-smaller groups are first poured into ``buckets`` by the hash of their text, and each bucket is packed as one item. So
-the packing sees a number of items that the parameters bound, whatever the input, and runs beside the plan; sizes,
-group sums, assignment and numbering are Spark's. The capacity is the smallest, to one part in 2**20, at which
-best-fit-decreasing needs no more shards than asked for; groups over the fair share have a shard each before that.
+Every group is packed, from large to small, into the bin with the least room that still holds it, found in a balanced
+tree. Groups of equal size enter together: the packing runs over (size, how many) pairs, which come to the driver, and
+gives the same bins as one group at a time. Sizes of more than ``bits`` binary digits count as the next size of so many
+digits (at most 1 part in 4096 more), so there are at most 2**(bits - 1) pairs for each doubling of the size, whatever
+the input. Only the few groups over 1 / (``shards * grain``) of all bytes go by their exact size. The capacity is the
+smallest, to one part in 2**20, at which best-fit-decreasing needs no more shards than asked for; groups over the fair
+share have a shard each before that. Sizes, group sums, the numbering within a size, assignment and slots are Spark's.
 
 Nulls and the like: a null text counts as empty; a null doc_id is an ordinary row (numbered first); repeated rows are
-separate rows of one group; an empty table gives an empty result.
+separate rows of one group; of bins with equal room the one made first is taken; groups of equal size are told apart by the
+hash of their text; slots follow a hash of the doc_id, then doc_id; a long text is its size alone; columns other than
+doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,49 +78,57 @@ class Tree:
         return self._join(least[0], n[1], self._without(n[2], least[0]))
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; sizes must be sorted from large to small. Items over the capacity get a bin each."""
-    tree, bins, made = Tree(), [], 0
-    for size in sizes:
-        found = tree.pop_at_least((size, -1))
-        if found is None:
-            found, made = (max(capacity, size), made), made + 1
-        bins.append(found[1])
-        tree.add((found[0] - size, found[1]))
-    return bins
+def best_fit_decreasing(pairs: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int]], int]:
+    """((place of the pair, bin, how many) in order, bins used); pairs are (size, count) with sizes from large to small.
 
-
-def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """Bins of best-fit-decreasing at the smallest capacity that needs at most ``shards`` bins.
+    Items over the capacity get a bin each.
+    """
+    tree, runs, made = Tree(), [], 0
+    for k, (size, count) in enumerate(pairs):
+        while count:
+            found = tree.pop_at_least((size, -1))
+            if found is None:
+                found, made = (max(capacity, size), made), made + 1
+            room, home = found
+            n = min(count, room // size)  # the tightest bin stays the tightest while it holds another
+            runs.append((k, home, n))
+            tree.add((room - n * size, home))
+            count -= n
+    return runs, made
+
+
+def pack_into(pairs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """(place of the pair, bin, how many) of best-fit-decreasing at the smallest capacity that needs at most ``shards`` bins.
 
     An item over the fair share of what is left gets a bin of its own first, so that it does not set the others' capacity.
     """
-    own, rest = 0, sum(sizes)
-    while own < len(sizes) and sizes[own] * (shards - own) > rest:
-        rest -= sizes[own]
-        own += 1
-    if own:
-        return [*range(own), *(own + b for b in pack_into(sizes[own:], shards - own))]
-    if not sizes:
-        return []
-    low = -(-rest // shards)
-    high = 2 * low
-    best = None
-    while best is None or max(best, default=0) >= shards:
-        best, high = best_fit_decreasing(sizes, high), 2 * high
+    left, rest, own, runs = [n for _, n in pairs], sum(s * n for s, n in pairs), 0, []
+    first = 0
+    while first < len(pairs) and pairs[first][0] * (shards - own) > rest:
+        runs.append((first, own, 1))
+        rest, own, left[first] = rest - pairs[first][0], own + 1, left[first] - 1
+        first += not left[first]
+    others = [(s, n) for (s, _), n in zip(pairs[first:], left[first:], strict=True)]
+    if not others:
+        return runs
+    low = -(-rest // (shards - own))
+    high, best = 2 * low, None
+    while best is None or best[1] > shards - own:
+        best, high = best_fit_decreasing(others, high), 2 * high
     high //= 2
     while high - low > max(1, low >> 20):
         mid = (low + high) // 2
-        bins = best_fit_decreasing(sizes, mid)
-        if max(bins) < shards:
-            best, high = bins, mid
+        tried = best_fit_decreasing(others, mid)
+        if tried[1] <= shards - own:
+            best, high = tried, mid
         else:
             low = mid
-    bins = best_fit_decreasing(sizes, low)
-    return bins if max(bins) < shards else best
+    tried = best_fit_decreasing(others, low)
+    best = tried if tried[1] <= shards - own else best
+    return runs + [(first + k, own + b, n) for k, b, n in best[0]]
 
 
-def shard(documents: DataFrame, shards: int = 24, grain: int = 256, buckets: int = 4096, blocks: int = 1024) -> DataFrame:
+def shard(documents: DataFrame, shards: int = 24, grain: int = 256, bits: int = 13, blocks: int = 1024) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) under the law ``bytes``."""
     spark = documents.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -126,20 +138,30 @@ def shard(documents: DataFrame, shards: int = 24, grain: int = 256, buckets: int
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
-    large = F.col("size") * F.lit(shards * grain) >= F.lit(total)
-    items = groups.select(large.alias("large"), F.when(large, F.col("key")).otherwise(F.pmod("key", F.lit(buckets))).alias("item"), "size")
-    found = items.groupBy("large", "item").agg(F.sum("size").alias("size")).collect()  # at most shards * grain + buckets rows
-    found.sort(key=lambda r: (-r["size"], r["large"], r["item"]))
-    bins = pack_into([r["size"] for r in found], shards)
-    place = spark.createDataFrame([(r["large"], r["item"], b) for r, b in zip(found, bins, strict=True)], "large boolean, item long, shard int")
-    whole = place.where("large").select(F.col("item").alias("key"), F.col("shard").alias("own"))
-    rest = place.where("NOT large").select(F.col("item").alias("bucket"), F.col("shard").alias("pooled"))
-    placed = (
-        rows.join(F.broadcast(whole), "key", "left").withColumn("bucket", F.pmod("key", F.lit(buckets))).join(F.broadcast(rest), "bucket", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "pooled").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
-    )
+    groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    large = F.col("size") * F.lit(shards * grain) >= F.lit(total)  # at most shards * grain groups
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin("size")) - F.lit(bits), F.lit(0)))
+    classed = groups.withColumn("class", F.when(large, F.col("size")).otherwise(F.ceil(F.col("size") / step) * step).cast("long"))
+    pairs = sorted(((r[0], r[1]) for r in classed.groupBy("class").agg(F.count("*")).collect()), reverse=True)
+    runs, at = [], [0] * len(pairs)
+    for k, home, n in pack_into(pairs, shards):
+        runs.append((pairs[k][0], at[k], at[k] + n, home))
+        at[k] += n
+    place = spark.createDataFrame(runs, "class long, lo long, hi long, shard int")
+    # the number of each group within its class: by blocks of keys, so that no class is numbered in one task
+    cut = classed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    tally = cut.groupBy("class", "block").agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(Window.partitionBy("class", "block").orderBy("key")) - F.lit(1)
+    numbered = cut.withColumn("number", number).join(tally.select("class", "block", earlier.alias("base")), ["class", "block"])
+    mine = F.col("base") + F.col("number")
+    homes = materialize(numbered.join(F.broadcast(place), "class").where((mine >= F.col("lo")) & (mine < F.col("hi"))).select("key", "size", "shard"), "shard-homes")
+    hot = homes.where(large).select("key", F.col("shard").alias("own"))
+    rest = rows.join(F.broadcast(hot), "key", "left")
+    known = rest.where("own IS NOT NULL").select("doc_id", "size", "text_crc32", F.col("own").alias("shard"))
+    other = rest.where("own IS NULL").select("doc_id", "size", "text_crc32", "key").join(homes.where(~large).select("key", "shard"), "key").drop("key")
+    placed = known.unionByName(other).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))  # at most shards * blocks rows
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

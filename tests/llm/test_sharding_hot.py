@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridols.llm import sharding
+from tests.llm.test_sharding import bins_of
 
 
 def loads(sizes, bins, shards):
@@ -19,7 +20,7 @@ def loads(sizes, bins, shards):
 @pytest.mark.parametrize("hot", [[100_000], [100_000, 40_000, 9_600], [10**7, 100_000]])
 def test_hot_items_leave_the_rest_equal(hot):
     sizes = hot + [100] * 2000
-    got = loads(sizes, sharding.pack_into(sizes, 24), 24)
+    got = loads(sizes, bins_of(sizes, 24), 24)
     assert got[: len(hot)] == hot and got[len(hot)] == -(-2000 // (24 - len(hot))) * 100 and got[-1] > 0  # the least possible
 
 
@@ -27,7 +28,7 @@ def test_hot_items_leave_the_rest_equal(hot):
 @given(st.lists(st.integers(1, 10**6), min_size=1, max_size=60), st.integers(1, 9))
 def test_all_items_fit(sizes, shards):
     sizes.sort(reverse=True)
-    bins = sharding.pack_into(sizes, shards)
+    bins = bins_of(sizes, shards)
     assert len(bins) == len(sizes) and set(bins) <= set(range(shards))
 
 
