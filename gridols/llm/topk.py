@@ -1,25 +1,35 @@
 """Exact top-k inner-product search by block-at-a-time pruning.
 
-Consecutive vectors form document-range blocks. Each block keeps the extreme value of every term (vector position);
-from these a query gets an upper bound of its score on the block. A query visits blocks from the highest bound
-down and scores each through the block's forward index (its rows), until no unvisited bound reaches its kth score.
+Vectors are put in the order of ``pivots`` sampled vectors that they are closest to, and consecutive ones form
+document-range blocks; this order only makes blocks tight, any order gives the same results. Each block keeps the extreme
+value of every term (vector position); from these a query gets an upper bound of its score on the block, the sum of its
+term maxima. A query first visits the blocks of its own neighbourhood, from the highest bound down, scoring each through
+its forward index (its rows) until no bound reaches its kth score. That score goes with the query to the bounds of all
+blocks, and only the pairs of query and block whose bound reaches it are routed to the blocks and scored. So candidates
+are shuffled once to be ordered and once to meet their queries; what all queries meet is the table of bounds alone, one
+row for each ``block`` candidates. ``pruning`` reports how many pairs were skipped.
 
-Nulls and the like: vectors that are null, empty, or hold a null, NaN or infinite component take no part, and
-neither do rows without an id. Scores are exact while they stay below 2**53. Vectors of different lengths meet as if the shorter ended in zeros. Repeated ids are
-separate candidates, except that a query never meets a row of its own id. Empty tables give an empty result.
+Nulls and the like: vectors that are null, or hold a null, NaN or infinite component take no part, and neither do rows
+without an id; an empty vector scores 0 with every other. Scores are exact while they stay below 2**53. Vectors of different lengths meet as if the shorter ended
+in zeros. Repeated ids are separate candidates, except that a query never meets a row of its own id; query rows that share
+an id are one query, whose list holds the k best of all their pairs. Ties go to the smaller id. Columns other than vec_id
+and embedding are not read. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PACKED = "lo long, n int, dim int, ids binary, rows binary"
+from gridols.llm.common import materialize
+
 FOUND = "query_id long, vec_id long, score long"
+BLOCK = "block long, n int, ids binary, rows binary, high binary, low binary, asks binary"
+PACK = "pack long, q_n int, q_ids binary, q_rows binary, q_least binary"
+#: Blocks of a query's neighbourhood.
+NEAR = 16
 
 
 def quantize(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -28,28 +38,98 @@ def quantize(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-        .where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", ok))
+        .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", ok))
         .select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v"))
     )
 
 
-def pack(size: int):
-    """Rows of (vec_id, v) to packed matrices of at most ``size`` rows, ascending in vec_id within each."""
+def to_bytes(m: np.ndarray) -> bytes:
+    """A matrix of whole numbers in the narrowest type that holds it, behind its type and width."""
+    top = max(-int(m.min(initial=0)), int(m.max(initial=0)))
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
+    return kind.encode() + m.shape[1].to_bytes(5, "little") + np.ascontiguousarray(m, kind).tobytes()
+
+
+def to_matrix(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, b[:3].decode(), offset=8).reshape(n, int.from_bytes(b[3:8], "little")).astype(np.int64)
+
+
+def dense(lists: pa.Array) -> np.ndarray:
+    lens = np.diff(lists.offsets.to_numpy())
+    rows = np.zeros((len(lists), int(lens.max(initial=0))), np.int64)
+    rows[np.arange(rows.shape[1]) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return rows
+
+
+def padded(*ms: np.ndarray):
+    """The matrices at equal width, as doubles if every inner product is exact in them."""
+    dim = max(m.shape[1] for m in ms)
+    tops = [max(-int(m.min(initial=0)), int(m.max(initial=0))) for m in ms]
+    kind = np.float64 if tops[0] * max(tops[1:], default=1) * dim < 2**53 else np.int64
+    return [np.pad(m, ((0, 0), (0, dim - m.shape[1]))).astype(kind) for m in ms]
+
+
+def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Upper bounds of the queries' scores on blocks: by term the larger of its products with the block's extremes, summed."""
+    q, high, low = padded(q, high, low)
+    return (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.float64)
+
+
+def near_order(v: DataFrame, pivots: int) -> DataFrame:
+    """(vec_id, v, asks, c, near): the pivot whose direction a vector is closest to, and how close; at most ``pivots`` vectors are collected."""
+    held = v.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    some = [np.array(r["v"], float) for r in held]
+    dim = max(map(len, some), default=0)
+    m = np.array([np.pad(x, (0, dim - len(x))) for x in some]).reshape(len(some), dim)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    given = v.sparkSession.sparkContext.broadcast((m / np.where(norm > 0, norm, 1)).T)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                lists = part.column(1)
-                lens = np.diff(lists.offsets.to_numpy())
-                rows = np.zeros((len(ids), int(lens.max(initial=0))), np.int64)
-                rows[np.arange(rows.shape[1]) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")
-                ids, rows = ids[order], rows[order]
-                yield pa.RecordBatch.from_pylist([{"lo": int(ids[0]), "n": len(ids), "dim": rows.shape[1], "ids": ids.tobytes(), "rows": rows.tobytes()}], schema=pa.schema([("lo", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]))
+        for b in batches:
+            rows, p = dense(b.column(1)).astype(float), given.value
+            width = max(rows.shape[1], len(p))
+            dots = np.pad(rows, ((0, 0), (0, width - rows.shape[1]))) @ np.pad(p, ((0, width - len(p)), (0, 0)))
+            c = dots.argmax(axis=1) if dots.shape[1] else np.zeros(len(rows), np.int64)
+            near = dots[np.arange(len(rows)), c] if dots.shape[1] else np.zeros(len(rows))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.astype(np.int32)), pa.array(-near)], [*b.schema.names, "c", "near"])
+
+    return v.mapInArrow(run, "vec_id long, v array<long>, asks boolean, c int, near double")
+
+
+def make_blocks(ordered: DataFrame, block: int) -> DataFrame:
+    """Packed blocks of ``block`` consecutive rows of each partition."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        made, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def pack(rows: pa.Table):
+            nonlocal made
+            ids, m = rows.column("vec_id").to_numpy(), dense(rows.column("v").combine_chunks())
+            asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            made += 1
+            return [made, len(ids), ids.astype("<i8").tobytes(), to_bytes(m), to_bytes(m.max(axis=0)[None]), to_bytes(m.min(axis=0)[None]), asks.tobytes()]
+
+        def send(table: pa.Table):
+            rows = [pack(table.slice(at, block)) for at in range(0, len(table), block)]
+            types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "n", "ids", "rows", "high", "low", "asks"])
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= 64 * block:
+                table = pa.Table.from_batches(held)
+                whole = len(table) - len(table) % block
+                yield send(table.slice(0, whole))
+                held = [x for x in table.slice(whole).to_batches() if x.num_rows]
+                size = len(table) - whole
+        if size:
+            yield send(pa.Table.from_batches(held))
 
-    return run
+    n = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ordered.repartitionByRange(n, "c", "near", "vec_id").sortWithinPartitions("c", "near", "vec_id").select("vec_id", "v", "asks").mapInArrow(run, BLOCK)
 
 
 def merge(query, ids, score, who, cand, value, k):
@@ -67,69 +147,133 @@ def merge(query, ids, score, who, cand, value, k):
     ids[w, rank], score[w, rank] = c, s
 
 
-def search_block_range(qids, q, cids, rows, k: int, block: int):
-    """The k best of one range of candidates for every query: (query ids, candidate ids, scores), exact."""
-    dim = max(q.shape[1], rows.shape[1])
-    q, rows = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in (q, rows))
-    top = (int(np.abs(q).max(initial=0)), int(np.abs(rows).max(initial=0)))
-    kind = np.float64 if top[0] * top[1] * dim < 2**53 else np.int64
-    q, rows = q.astype(kind), rows.astype(kind)
-    starts = np.arange(0, len(rows), block)
-    high, low = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
-    bound = (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.float64)
+def visit(qids, q, cids, rows, starts, high, low, k: int, least=None):
+    """The k best of some blocks for every query, from the highest bound down: (ids, scores) padded with -1 and -inf, exact.
+
+    starts: the first row of each block and the number of rows; least: scores below these do not matter.
+    """
+    bound = bounds(q, high, low)
+    q, rows = padded(q, rows)
     order = np.argsort(-bound, axis=1, kind="stable")
     ids, score = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
-    for turn in range(len(starts)):
+    floor = np.full(len(q), -np.inf) if least is None else least
+    for turn in range(len(starts) - 1):
         at = order[:, turn]
-        live = np.flatnonzero(bound[np.arange(len(q)), at] >= score[:, -1])
+        live = np.flatnonzero(bound[np.arange(len(q)), at] >= np.maximum(score[:, -1], floor))
         if not len(live):
             break
         for b in np.unique(at[live]):
             who = live[at[live] == b]
-            span = slice(starts[b], starts[b] + block)
+            span = slice(starts[b], starts[b + 1])
             s = q[who] @ rows[span].T
-            i, j = np.nonzero((s >= score[who, -1][:, None]) & (qids[who][:, None] != cids[span][None, :]))
+            i, j = np.nonzero((s >= np.maximum(score[who, -1], floor[who])[:, None]) & (qids[who][:, None] != cids[span][None, :]))
             if len(i):
                 merge(q, ids, score, who[i], cids[span][j], s[i, j], k)
-    i, j = np.nonzero(score > -np.inf)
-    return qids[i], ids[i, j], score[i, j].astype(np.int64)
+    return ids, score
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 256, range_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
-    """Per query row the k best other rows by integer inner product: (query_id, rank, vec_id, score).
+def stack(ms: list[np.ndarray]) -> np.ndarray:
+    dim = max((m.shape[1] for m in ms), default=0)
+    return np.concatenate([np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in ms]) if ms else np.zeros((0, 0), np.int64)
+
+
+def first_visit(blocks: DataFrame, k: int, query_rows: int) -> DataFrame:
+    """Packs of at most ``query_rows`` queries, each with the kth score of its own neighbourhood (-inf with fewer rows)."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        made, held = TaskContext.get().partitionId() << 33, []
+
+        def send():
+            nonlocal made, held
+            ids, q, least = (np.concatenate(c) if j != 1 else stack(list(c)) for j, c in enumerate(zip(*held, strict=True)))
+            for at in range(0, len(ids), query_rows):
+                made += 1
+                part = slice(at, at + query_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([len(ids[part])], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids[part].tobytes(), to_bytes(q[part]), least[part].tobytes()))], ["pack", "q_n", "q_ids", "q_rows", "q_least"])
+            held = []
+
+        for b in batches:
+            for lo in range(0, b.num_rows, NEAR):
+                some = b.slice(lo, NEAR).to_pylist()
+                ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in some])
+                asks = np.concatenate([np.frombuffer(r["asks"], bool) for r in some])
+                if not asks.any():
+                    continue
+                rows, high, low = stack([to_matrix(r["rows"], r["n"]) for r in some]), stack([to_matrix(r["high"], 1) for r in some]), stack([to_matrix(r["low"], 1) for r in some])
+                starts = np.concatenate([[0], np.cumsum([r["n"] for r in some])])
+                _, score = visit(ids[asks], rows[asks], ids, rows, starts, high, low, k)
+                held.append((ids[asks], rows[asks], score[:, -1]))
+                if sum(len(h[0]) for h in held) >= query_rows:
+                    yield from send()
+        if held:
+            yield from send()
+
+    return blocks.select("ids", "asks", "n", "rows", "high", "low").mapInArrow(run, PACK)
 
-    Candidates stay where they were read and are packed in ranges of ``range_rows``; queries are dealt into groups of
-    about ``query_rows``. Each range meets each query group once, and hands on k rows a query at most.
-    """
-    spark = vectors.sparkSession
-    v = quantize(vectors, scale)
-    queries = v.where(is_query)
-    groups = max(1, math.ceil(queries.count() / query_rows))
-    salts = 8
-    ranges = v.mapInArrow(pack(range_rows), PACKED).withColumn("salt", F.pmod(F.xxhash64("lo", "n"), F.lit(salts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    packed = (
-        queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-        .groupBy("g").applyInArrow(pack_group, "g int, q_n int, q_dim int, q_ids binary, q_rows binary")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
+
+def route(blocks: DataFrame, packs: DataFrame, bound_rows: int) -> DataFrame:
+    """(block, q_n, q_ids, q_rows, q_least): for every block the queries whose bound on it reaches their kth score so far."""
+
+    def gather(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, bound_rows):
+                some = b.slice(lo, bound_rows).to_pylist()
+                # widths differ only where vectors do: what a block lacks is 0
+                yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int32()), *(pa.array([x], pa.binary()) for x in (np.array([r["block"] for r in some], "<i8").tobytes(), to_bytes(stack([to_matrix(r["high"], 1) for r in some])), to_bytes(stack([to_matrix(r["low"], 1) for r in some]))))], ["b_n", "b_ids", "b_high", "b_low"])
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                m = [np.frombuffer(r[a], np.int64).reshape(r[n], -1) for a, n in (("q_ids", "q_n"), ("q_rows", "q_n"), ("ids", "n"), ("rows", "n"))]
-                a, b, s = search_block_range(m[0][:, 0], m[1], m[2][:, 0], m[3], k, block)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
+        for b in batches:
+            for r in b.to_pylist():
+                ids, q, least = np.frombuffer(r["q_ids"], "<i8"), to_matrix(r["q_rows"], r["q_n"]), np.frombuffer(r["q_least"])
+                reach = bounds(q, to_matrix(r["b_high"], r["b_n"]), to_matrix(r["b_low"], r["b_n"])) >= least[:, None]
+                out = []
+                for place in np.flatnonzero(reach.any(axis=0)):
+                    who = np.flatnonzero(reach[:, place])
+                    out.append((np.frombuffer(r["b_ids"], "<i8")[place], len(who), ids[who].tobytes(), to_bytes(q[who]), least[who].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["block", "q_n", "q_ids", "q_rows", "q_least"])
+
+    names = [r[0] for r in packs.select("pack").collect()]  # a number for each query_rows queries
+    spark = blocks.sparkSession
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gathered = blocks.select("block", "high", "low").mapInArrow(gather, "b_n int, b_ids binary, b_high binary, b_low binary")
+    every = spark.createDataFrame([(n,) for n in names], "pack long").withColumn("one", F.lit(1))
+    dealt = gathered.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").withColumn("salt", F.pmod(F.xxhash64("b_ids"), F.lit(salts)).cast("int"))
+    salted = packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.drop("one").join(salted, ["pack", "salt"]).select("b_n", "b_ids", "b_high", "b_low", "q_n", "q_ids", "q_rows", "q_least").mapInArrow(run, "block long, q_n int, q_ids binary, q_rows binary, q_least binary")
+
+
+def plan(vectors: DataFrame, is_query, k: int, scale: float, block: int, pivots: int, query_rows: int, bound_rows: int):
+    """(blocks, packs, routed) as tables in the shared folder."""
+    v = quantize(vectors, scale).withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    blocks = materialize(make_blocks(near_order(v, pivots), block), "blocks")
+    packs = materialize(first_visit(blocks, k, query_rows), "packs")
+    return blocks, packs, materialize(route(blocks, packs, bound_rows), "routed")
+
 
-    found = ranges.join(packed, ["g", "salt"]).drop("g", "salt", "lo").mapInArrow(run, FOUND)
+def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 64, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
+    """Per query row the k best other rows by integer inner product: (query_id, rank, vec_id, score). is_query: a condition on vec_id."""
+    blocks, _, routed = plan(vectors, is_query, k, scale, block, pivots, query_rows, bound_rows)
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids, q, least = np.frombuffer(r["q_ids"], "<i8"), to_matrix(r["q_rows"], r["q_n"]), np.frombuffer(r["q_least"])
+                cand, score = visit(ids, q, np.frombuffer(r["ids"], "<i8"), to_matrix(r["rows"], r["n"]), [0, r["n"]], to_matrix(r["high"], 1), to_matrix(r["low"], 1), k, least)
+                i, j = np.nonzero(score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(cand[i, j]), pa.array(score[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+
+    found = blocks.drop("asks").join(routed, "block").drop("block").mapInArrow(run, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def pack_group(table: pa.Table) -> pa.Table:
-    g = table.column("g")[0].as_py()
-    ids = table.column("vec_id").to_numpy()
-    lists = table.column("v").combine_chunks()
-    lens = np.diff(lists.offsets.to_numpy())
-    rows = np.zeros((len(ids), int(lens.max(initial=0))), np.int64)
-    rows[np.arange(rows.shape[1]) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-    return pa.table({"g": pa.array([g], pa.int32()), "q_n": pa.array([len(ids)], pa.int32()), "q_dim": pa.array([rows.shape[1]], pa.int32()), "q_ids": pa.array([np.ascontiguousarray(ids).tobytes()], pa.binary()), "q_rows": pa.array([rows.tobytes()], pa.binary())})
+def pruning(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 64, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
+    """(queries, blocks, pairs, visited, skipped_share): how many pairs of query and block the bounds leave."""
+    blocks, packs, routed = plan(vectors, is_query, k, scale, block, pivots, query_rows, bound_rows)
+    sizes = blocks.agg(F.count("*").alias("blocks")), packs.agg(F.coalesce(F.sum("q_n"), F.lit(0)).alias("queries")), routed.agg(F.coalesce(F.sum("q_n"), F.lit(0)).alias("visited"))
+    one = [d.withColumn("one", F.lit(1)) for d in sizes]
+    told = one[0].join(one[1], "one").join(one[2], "one").withColumn("pairs", F.col("queries") * F.col("blocks"))
+    return told.select("queries", "blocks", "pairs", "visited", F.try_divide(F.col("pairs") - F.col("visited"), "pairs").alias("skipped_share"))
