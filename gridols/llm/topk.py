@@ -246,14 +246,14 @@ def route(blocks: DataFrame, packs: DataFrame, bound_rows: int) -> DataFrame:
 
 
 def plan(vectors: DataFrame, is_query, k: int, scale: float, block: int, pivots: int, query_rows: int, bound_rows: int):
-    """(blocks, packs, routed) as tables in the shared folder."""
+    """(blocks, packs, routed); the first two as tables in the shared folder."""
     v = quantize(vectors, scale).withColumn("asks", F.coalesce(is_query, F.lit(False)))
     blocks = materialize(make_blocks(near_order(v, pivots), block), "blocks")
     packs = materialize(first_visit(blocks, k, query_rows), "packs")
-    return blocks, packs, materialize(route(blocks, packs, bound_rows), "routed")
+    return blocks, packs, route(blocks, packs, bound_rows)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 64, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 256, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
     """Per query row the k best other rows by integer inner product: (query_id, rank, vec_id, score). is_query: a condition on vec_id."""
     blocks, _, routed = plan(vectors, is_query, k, scale, block, pivots, query_rows, bound_rows)
 
@@ -270,7 +270,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def pruning(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 64, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
+def pruning(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 256, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
     """(queries, blocks, pairs, visited, skipped_share): how many pairs of query and block the bounds leave."""
     blocks, packs, routed = plan(vectors, is_query, k, scale, block, pivots, query_rows, bound_rows)
     sizes = blocks.agg(F.count("*").alias("blocks")), packs.agg(F.coalesce(F.sum("q_n"), F.lit(0)).alias("queries")), routed.agg(F.coalesce(F.sum("q_n"), F.lit(0)).alias("visited"))

@@ -49,7 +49,7 @@ def test_pruning_skips_pairs_of_clustered_vectors(spark):
     centres = rng.normal(size=(40, 16)) * 3
     rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=16) * 0.1]) for i in range(6000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    told = topk.pruning(df, F.col("vec_id") % 50 == 0).first()
+    told = topk.pruning(df, F.col("vec_id") % 50 == 0, block=64).first()
     assert told["queries"] == 120 and told["blocks"] >= 94 and told["skipped_share"] > 0.4
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
     assert got == brute(rows, 5, lambda i: i % 50 == 0)
