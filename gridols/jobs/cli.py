@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +19,13 @@ from gridols.operators.fit import fit, full_rank, low_rank_removed
 from gridols.operators.products import product_forms
 from gridols.operators.ranking import numbered
 from gridols.sources.delimited import read_matrix, read_paths
-from gridols.sources.images import read_images, volumes
+from gridols.sources.folders import write_text
+from gridols.sources.images import read_images, write_images
 from gridols.spec import from_config, read_yaml
 
 
 def run(spark: SparkSession, config: dict) -> DataFrame:
-    """All maps in long form, also written under outdir: maps/ and images/ as Parquet, and the configuration."""
+    """All maps in long form, also written under outdir: maps/ as Parquet, images/<map>.nii in the inputs' space, and the configuration."""
     import yaml
 
     missing = [k for k in ("Y_files", "X", "contrasts", "outdir") if not config.get(k)]
@@ -37,8 +38,10 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
     design = numbered(matrix, "row").withColumn("obs", F.col("number") - 1).drop("row", "number")
     validate.rows_match(len(paths), design.count())
     readings, meta = read_images(spark, paths)
+    meta = meta.persist()
     validate.geometry(meta)
-    shape = tuple(meta.first()["shape"])
+    first = meta.first()
+    shape, affine = tuple(first["shape"]), np.array(first["affine"]).reshape(4, 4)
     if config.get("data_mask_files"):
         named = read_paths(config["data_mask_files"])
         validate.mask_count(len(paths), len(named))
@@ -47,19 +50,23 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
         readings = join_mask(readings, masks.withColumnRenamed("y", "mask"), ["obs", "cell"])
     analysis = None
     if config.get("analysis_mask"):
-        analysis = read_images(spark, [config["analysis_mask"]])[0].select("cell", F.col("y").cast("int").alias("mask"))
+        inside, about = read_images(spark, [config["analysis_mask"]])
+        validate.geometry(meta.unionByName(about))
+        analysis = inside.select("cell", F.col("y").cast("int").alias("mask"))
         readings = within(readings, analysis, check=True)
     rows = attach_design(clean(readings, "mask" if config.get("data_mask_files") else None, model.threshold), design)
-    forms = product_forms(rows, xs)
+    forms = product_forms(rows, xs).persist()  # a row for each cell: what follows reads it several times, the images once
     kept = mask.analysed(forms, model.p, len(paths), model.min_percent, model.min_n, analysis)
     fitted = fit(kept, model.p)
     counts = low_rank_removed(mask.count_maps(forms, model.p, len(paths), model.min_percent, model.min_n, analysis), fitted, model.p)
     out = contrasts.infer(full_rank(fitted, model.p), model)
-    every = maps.union_maps([maps.result_maps(out, model), *(maps.long_map(counts, c, F.col(c)) for c in ("n", "edf", "mask"))])
+    every = maps.result_maps(out, model).unionByName(maps.stacked_maps(counts, {c: F.col(c) for c in ("n", "edf", "mask")}, {}))
     maps.write(every, f"{config['outdir']}/maps")
     written = spark.read.parquet(f"{config['outdir']}/maps")
-    volumes(written, shape).write.mode("overwrite").parquet(f"{config['outdir']}/images")
-    (Path(config["outdir"]) / "inputs.yml").write_text(yaml.safe_dump(config))
+    write_images(written, f"{config['outdir']}/images", shape, affine)
+    write_text(f"{config['outdir']}/inputs.yml", yaml.safe_dump(config))
+    meta.unpersist()
+    forms.unpersist()
     return written
 
 

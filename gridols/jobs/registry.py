@@ -115,7 +115,7 @@ def xtx_by_voxel(spark, sf_dir):
 
 def pattern_ids(spark, sf_dir):
     found = patterns(fx.masked_embeddings(spark, sf_dir))
-    return found.select("cell", "pattern_id", F.size("pattern").alias("n"))
+    return found.select("cell", "pattern_id", F.col("n").cast("int").alias("n"))
 
 
 def xtx_by_pattern(spark, sf_dir):
@@ -132,7 +132,7 @@ def batch_merge_equivalence(spark, sf_dir):
 def batch_merge_patterns(spark, sf_dir):
     """The patterns of two batches of observations combined tell cells apart as those of all observations do."""
     rows = fx.masked_embeddings(spark, sf_dir)
-    return combine_patterns(patterns(rows.where("obs % 2 = 0")).drop("pattern"), patterns(rows.where("obs % 2 = 1")).drop("pattern"))
+    return combine_patterns(patterns(rows.where("obs % 2 = 0")), patterns(rows.where("obs % 2 = 1")))
 
 
 def ring_inner_split(spark, sf_dir):
@@ -221,7 +221,7 @@ def dense_map(spark, sf_dir):
 
 def map_union(spark, sf_dir):
     out = emb_inferred(spark, sf_dir)
-    return maps.union_maps([maps.array_map(out, "beta", "beta"), maps.long_map(out, "resms", F.col("resms")), maps.array_map(out, "conT", "con_t")]).withColumn("value", r("value", 6))
+    return maps.stacked_maps(out, {"resms": F.col("resms")}, {"beta": F.col("beta"), "conT": F.col("con_t")}).withColumn("value", r("value", 6))
 
 
 def map_upsert(spark, sf_dir):
@@ -253,4 +253,8 @@ QUERIES = {
     )
 }
 
-from gridols.jobs.sql import SQL  # noqa: E402, F401
+from gridols.jobs import files, wide  # noqa: E402
+from gridols.jobs.sql import SQL  # noqa: E402
+
+QUERIES |= files.QUERIES | wide.QUERIES
+SQL |= files.SQL | wide.SQL

@@ -40,7 +40,8 @@ def outside(rows: DataFrame, analysis_mask: DataFrame) -> DataFrame:
     return rows.join(analysis_mask.where("mask = 1").select("cell"), "cell", "left_anti")
 
 
-def attach_design(rows: DataFrame, design: DataFrame, on: str = "obs", most_rows: int = 1_000_000) -> DataFrame:
-    """Rows joined to the shared design; the design is broadcast while it has at most ``most_rows`` rows."""
+def attach_design(rows: DataFrame, design: DataFrame, on: str = "obs", most_bytes: int = 64 << 20) -> DataFrame:
+    """Rows joined to the shared design; the design is broadcast while its numbers take at most ``most_bytes``."""
+    most_rows = most_bytes // (8 * len(design.columns))
     small = design.limit(most_rows + 1).count() <= most_rows
     return rows.join(F.broadcast(design) if small else design, on)

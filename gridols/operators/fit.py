@@ -54,7 +54,7 @@ def fit(forms: DataFrame, p: int, key: str = "cell") -> DataFrame:
 def full_rank(fitted: DataFrame, p: int) -> DataFrame:
     """Cells whose design has full rank; one with all its readings and a design of low rank is an error of the design."""
     low = (F.col("rank") < p) & (F.col("n") == F.col("n_rows"))
-    checked = F.when(low, F.raise_error(F.lit("The design matrix, X, is of insufficient rank."))).otherwise(F.col("rank") == p)
+    checked = F.when(low, F.raise_error(F.lit("the columns of the design are linearly dependent"))).otherwise(F.col("rank") == p)
     return fitted.where(checked.cast("boolean"))
 
 

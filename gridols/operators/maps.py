@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +17,21 @@ def long_map(results: DataFrame, name: str, value: Column, vol: Column | int = 0
     return results.select(F.lit(name).alias("map"), (F.lit(vol) if isinstance(vol, int) else vol).cast("int").alias("vol"), "cell", value.cast("double").alias("value"))
 
 
-def array_map(results: DataFrame, name: str, column: str) -> DataFrame:
-    return results.select("cell", F.posexplode(column).alias("vol", "value")).select(F.lit(name).alias("map"), "vol", "cell", "value")
+def stacked_maps(results: DataFrame, scalars: dict[str, Column], arrays: dict[str, Column]) -> DataFrame:
+    """(map, vol, cell, value) of several maps from one pass over the results: each cell's values as one array, exploded."""
+    entry = lambda name, vol, value: F.struct(F.lit(name).alias("map"), vol.cast("int").alias("vol"), value.cast("double").alias("value"))
+    single = F.array(*(entry(name, F.lit(0), value) for name, value in scalars.items()))
+    several = [F.transform(value, partial(lambda name, x, i: entry(name, i, x), name)) for name, value in arrays.items()]
+    return results.select("cell", F.explode(F.concat(single, *several)).alias("m")).select("m.map", "m.vol", "cell", "m.value")
 
 
 def result_maps(results: DataFrame, model: Model) -> DataFrame:
     """All maps of an inferred fit in long form; the covariance only if the model asks for it."""
-    parts = [long_map(results, m, F.col(c)) for m, c in SCALARS.items()]
-    parts += [array_map(results, m, c) for m, c in (("beta", "beta"), ("con", "con"), ("conSE", "con_se"), ("conT", "con_t"), ("conTlp", "con_t_lp"), ("conF", "con_f"), ("conFlp", "con_f_lp"), ("conR2", "con_r2"))]
+    arrays = {"beta": "beta", "con": "con", "conSE": "con_se", "conT": "con_t", "conTlp": "con_t_lp", "conF": "con_f", "conFlp": "con_f_lp", "conR2": "con_r2"}
+    values = {m: F.col(c) for m, c in arrays.items()}
     if model.output_cov:
-        parts.append(array_map(results.select("cell", F.transform("inverse", lambda x: x * F.col("resms")).alias("cov")), "cov", "cov"))
-    return union_maps(parts)
+        values["cov"] = F.transform("inverse", lambda x: x * F.col("resms"))
+    return stacked_maps(results, {m: F.col(c) for m, c in SCALARS.items()}, values)
 
 
 def union_maps(parts: list[DataFrame]) -> DataFrame:

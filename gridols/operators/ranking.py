@@ -1,22 +1,28 @@
 """Row numbers and equal blocks over a whole table, without bringing it to one task."""
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the key that are numbered separately; only their counts meet in one place.
-RANGES = 4096
+#: Ranges of the key that are numbered separately; only their bounds and counts meet in one place.
+RANGES = 1024
 
 
 def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
     """Rows with their place, from 1, in ascending order of a distinct whole-number key.
 
-    The key's span is cut into RANGES ranges; a range's rows are numbered in a task, after the rows of the ranges before.
+    The keys are cut into ranges of about equal numbers of rows, however they lie; a range's rows are numbered in a task,
+    after the rows of the ranges before.
     """
-    span = rows.agg(F.min(key).alias("least"), F.max(key).alias("most"))
-    width = F.floor((F.col("most") - F.col("least")) / RANGES) + 1
-    ranged = rows.join(F.broadcast(span)).withColumn("range", F.floor((F.col(key) - F.col("least")) / width)).drop("least", "most")  # one row is joined
+    cuts = rows.agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    bounds = np.array(sorted(set(cuts)), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy()))
+
+    ranged = rows.withColumn("range", range_of(F.col(key).cast("long")))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("range").agg(F.count("*").alias("n"))  # at most RANGES rows
     base = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

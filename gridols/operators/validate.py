@@ -15,7 +15,7 @@ def geometry(meta: DataFrame) -> None:
 
 def mask_count(responses: int, masks: int) -> None:
     if masks and masks != responses:
-        raise ValueError(f"Too {'many' if masks > responses else 'few'} data_masks specified!")
+        raise ValueError(f"{masks} data masks for {responses} responses: each response needs one, or there are none")
 
 
 def rows_match(responses: int, design_rows: int) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridols.sources.folders import read_text
+
 
 def is_number(text: str | None) -> bool:
     try:
@@ -46,5 +48,4 @@ def read_matrix(spark: SparkSession, path: str, separator: str = ",") -> DataFra
 
 def read_paths(path: str) -> list[str]:
     """The paths that a text file lists; their order is that of the observations."""
-    with open(path) as f:
-        return [line.rstrip("\r\n") for line in f if line.strip()]
+    return [line for line in read_text(path).splitlines() if line.strip()]

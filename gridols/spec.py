@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -50,14 +50,6 @@ def fraction(value) -> float:
     return share
 
 
-def memory(value) -> int:
-    """A size such as 2**32 or "2**32", without evaluating code."""
-    if isinstance(value, int):
-        return value
-    base, _, power = str(value).partition("**")
-    return int(base) ** int(power or 1)
-
-
 @dataclass(frozen=True)
 class Model:
     p: int
@@ -67,12 +59,8 @@ class Model:
     threshold: float | None = None
     output_cov: bool = True
     min_log: float = -323.3062153431158
-    missing: str = "zero"
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        if self.missing not in ("zero", "null"):
-            raise ValueError("missing must be zero or null")
         for c in self.contrasts:
             c.check(self.p)
 
@@ -103,5 +91,6 @@ def from_config(config: dict, p: int) -> Model:
 def read_yaml(path: str) -> dict:
     import yaml
 
-    with open(path) as f:
-        return yaml.safe_load(f) or {}
+    from gridols.sources.folders import read_text
+
+    return yaml.safe_load(read_text(path)) or {}

@@ -7,6 +7,9 @@ from gridols.sources.images import decode, encode
 from gridols.spec import read_yaml
 
 
+AFFINE = np.array([[2.0, 0, 0, -8], [0, 2.5, 0, 4], [0, 0, -3, 1], [0, 0, 0, 1]])
+
+
 @pytest.fixture
 def study(tmp_path):
     rng = np.random.default_rng(3)
@@ -17,11 +20,11 @@ def study(tmp_path):
     y[:, 5] = 0
     masks = (rng.uniform(size=y.shape) < 0.9).astype(float)
     for k in range(n):
-        (tmp_path / f"y{k}.nii").write_bytes(encode(y[k].reshape(shape)))
-        (tmp_path / f"m{k}.nii").write_bytes(encode(masks[k].reshape(shape)))
+        (tmp_path / f"y{k}.nii").write_bytes(encode(y[k].reshape(shape), AFFINE))
+        (tmp_path / f"m{k}.nii").write_bytes(encode(masks[k].reshape(shape), AFFINE))
     inside = np.ones(24)
     inside[7] = 0
-    (tmp_path / "am.nii").write_bytes(encode(inside.reshape(shape)))
+    (tmp_path / "am.nii").write_bytes(encode(inside.reshape(shape), AFFINE))
     (tmp_path / "y.txt").write_text("\n".join(str(tmp_path / f"y{k}.nii") for k in range(n)))
     (tmp_path / "m.txt").write_text("\n".join(str(tmp_path / f"m{k}.nii") for k in range(n)))
     np.savetxt(tmp_path / "x.csv", x, delimiter=",")
@@ -45,8 +48,10 @@ def test_images_in_maps_out(spark, study):
         b, rss = np.linalg.lstsq(x[seen], y[seen, c], rcond=None)[:2]
         assert got["beta", 0, c] == pytest.approx(b[0]) and got["beta", 1, c] == pytest.approx(b[1])
         assert got["resms", 0, c] == pytest.approx(rss[0] / (seen.sum() - 2)) and got["n", 0, c] == seen.sum() and got["mask", 0, c] == 1
-    images = {(r["map"], r["vol"]): decode(bytes(r["image"]))[0].ravel() for r in spark.read.parquet(f"{path}/out/images").collect()}
-    assert images["beta", 1][7] == 0 and images["beta", 1][min(cells)] == got["beta", 1, min(cells)]
+    beta, affine = decode((path / "out/images/beta.nii").read_bytes())
+    assert beta.shape == (3, 4, 2, 2) and beta[..., 1].ravel()[7] == 0 and beta[..., 1].ravel()[min(cells)] == got["beta", 1, min(cells)]
+    assert (affine == AFFINE).all() and decode((path / "out/images/n.nii").read_bytes())[0].shape == (3, 4, 2)
+    assert sorted(p.name for p in (path / "out/images").glob("*.nii*")) == sorted(f"{m}.nii" for m in {k[0] for k in got})
     assert (path / "c.yml").read_text() == before and read_yaml(f"{path}/out/inputs.yml")["data_mask_thresh"] == 0.1
 
 
@@ -58,5 +63,5 @@ def test_refuses_wrong_input(spark, study):
     (path / "short.txt").write_text("\n".join((path / "y.txt").read_text().split("\n")[:-1]))
     with pytest.raises(ValueError, match="rows of the design"):
         run(spark, config | {"Y_files": str(path / "short.txt")})
-    with pytest.raises(ValueError, match="few"):
+    with pytest.raises(ValueError, match="data masks"):
         run(spark, config | {"data_mask_files": str(path / "short.txt")})
