@@ -63,10 +63,9 @@ def remove_boilerplate(documents: DataFrame, min_sites: int = 10, spare_copies:
     """
     rows = line_rows(documents)
     cut = rows.join(boilerplate(rows, min_sites), ["line", "n"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
-    if spare_copies:  # copies have the same lines, so all of them are among the documents to cut
-        cut = materialize(cut, "lines-to-cut")
-        copied = cut.groupBy("text_hash").agg(F.count("*").alias("copies")).where("copies > 1").select("text_hash")
-        cut = cut.join(copied, "text_hash", "left_anti")
+    if spare_copies:  # copies have the same lines, so all of them are here, and are counted before the shuffle
+        one = cut.groupBy("text_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("at").alias("at"))
+        cut = one.where("copies = 1")
     cut = cut.select(F.col("doc_id").alias("cut_doc"), F.col("text_hash").alias("cut_hash"), "at")
     place = {c: f"given_{i}" for i, c in enumerate(documents.columns)}  # names that clash with none of the below
     doc, given = F.col(place["doc_id"]), F.col(place["text"])
