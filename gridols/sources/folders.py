@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -19,10 +20,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The full address of a file, as Spark's readers name it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+def qualified(spark: SparkSession, paths: list[str]) -> Iterator[str]:
+    """The full addresses of files, as Spark's readers name them; each folder is looked up once."""
+    known: dict[str, str] = {}
+    for p in paths:
+        folder = p.rpartition("/")[0] or ("/" if p.startswith("/") else ".")
+        if folder not in known:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            known[folder] = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+        yield f"{known[folder]}/{p.rpartition('/')[2]}"
 
 
 def file_system(path: str):

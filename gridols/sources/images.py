@@ -94,8 +94,7 @@ def read_images(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     """
     files = [(k, f) for k, p in enumerate(paths) for f in parts_of(p)]
     place: dict[str, int] = {}
-    for k, f in files:
-        name = qualified(spark, f)
+    for (k, f), name in zip(files, qualified(spark, [f for _, f in files]), strict=True):
         if name in place:
             raise ValueError(f"{f} is listed more than once")
         place[name] = k
