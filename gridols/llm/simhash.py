@@ -6,8 +6,12 @@ before anything is joined. A bucket is searched breadth-first over the fingerpri
 components without listing its pairs. Buckets over ``chunk`` fingerprints are split, and each pair of chunks is searched
 by itself, which loses no link.
 
+A task holds one bucket, or pair of parts, and one batch at a time.
+
 Nulls and the like: a null text has no words, like an empty one, and gets fingerprint zero, which links as any other;
-rows without a doc_id are left out; repeated rows get a row each; an empty table gives an empty result.
+a bit set in exactly half of the hashes is 0; rows without a doc_id are left out of ``near_duplicates`` and kept by
+``keep_one``; repeated rows get a row each; long texts are hashed whole, a piece of their shingles at a time; columns other
+than doc_id and text are not read, and ``keep_one`` keeps columns of any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -105,15 +109,24 @@ def bucket_rows_links(rows: DataFrame, distance: int, chunk: int) -> DataFrame:
     )
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            cols = [table.column(i).to_numpy() for i in range(6)]
-            change = np.zeros(table.num_rows, bool)
-            for c in cols[:4]:
-                change[1:] |= c[1:] != c[:-1]
-            a, b = bucket_links(cols[4].view(np.uint64), cols[5], np.cumsum(change), distance)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def links(cols):
+        a, b = bucket_links(cols[4].view(np.uint64), cols[5], np.cumsum(starts(cols)), distance)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def starts(cols):
+        return np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])) if len(cols[0]) else np.zeros(0, bool)
+
+    def run(batches):  # groups come one after another; the last one of a batch waits for the rest of its rows
+        held = None
+        for b in batches:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            last = int(np.flatnonzero(starts(cols))[-1]) if len(cols[0]) else 0
+            if last:
+                yield links([np.ascontiguousarray(c[:last]) for c in cols])
+            held = [np.ascontiguousarray(c[last:]) for c in cols]
+        if held is not None and len(held[0]):
+            yield links(held)
 
     keys = ["t", "bucket", "lo", "hi"]
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")

@@ -5,9 +5,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridols.llm import simhash
-from gridols.llm.components import components
+from gridols.llm.components import components, state_of
 
 
 def plain_print(text):
@@ -102,3 +103,29 @@ def test_one_of_each_group_stays(documents, odd, none):
         assert kept.columns == df.columns
         top = {a: c for a, _, c in expected(df.collect())}
         assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in df.collect() if r["doc_id"] is None or top[r["doc_id"]] == r["doc_id"])
+
+
+def test_ids_near_the_ends_of_the_range_and_convergence(spark):
+    top = 2**63 - 1
+    ids = [top, top - 1, top - 2, -(2**63), -(2**63) + 1, 5, 6]
+    links = [(top, top - 1), (top - 1, top - 2), (-(2**63), top), (-(2**63) + 1, 5), (6, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: (-(2**63) if i in (top, top - 1, top - 2, -(2**63)) else -(2**63) + 1) for i in ids}
+
+
+def test_the_state_of_many_links_does_not_overflow(spark):
+    many = spark.range(20_000_000).select((F.col("id") + F.lit(2**62)).alias("u"), (F.lit(2**63 - 1) - F.col("id")).alias("v"))
+    n, a, b = state_of(many)
+    assert n == 20_000_000 and (n, a, b) == state_of(many.repartition(3)) and (a, b) != state_of(many.where("u % 1000003 <> 5"))[1:]
+
+
+def test_groups_that_reach_over_batches(spark):
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fps = near_prints(120, 9)
+        df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
+        links = [(r["a"], r["b"]) for r in simhash.near_links(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    assert union(range(len(fps)), links) == union(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
