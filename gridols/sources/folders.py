@@ -31,6 +31,14 @@ def qualified(spark: SparkSession, paths: list[str]) -> Iterator[str]:
         yield f"{known[folder]}/{p.rpartition('/')[2]}"
 
 
+def written(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the tables in a folder whose writing is complete."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    where = place(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    inside = [f.getPath() for f in where.listStatus(place(folder)) if f.isDirectory()]
+    return [p.getName() for p in inside if where.exists(place(p, "_SUCCESS"))]
+
+
 def file_system(path: str):
     """(file system, path in it) of an address; one without a scheme is a local path."""
     from pyarrow import fs

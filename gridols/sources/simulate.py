@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridols.operators.maps import place
+
 
 def uniform(seed: int, *key):
     """U(0, 1) as a function of the key alone, so that a row has its value however the data is partitioned."""
@@ -43,3 +45,16 @@ def smooth(values: DataFrame, shape: tuple[int, int, int], fwhm: float, reach: i
         spread = values.withColumn("step", F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w / sum(weights)).alias("w")) for d, w in zip(range(-reach, reach + 1), weights, strict=True))))).select("obs", "cell", "y", "step.*").where((here >= 0) & (here < size))
         values = spread.select("obs", (F.col("cell") + F.col("d") * stride).alias("cell"), (F.col("y") * F.col("w")).alias("y")).groupBy("obs", "cell").agg(F.sum("y").alias("y"))
     return values
+
+
+def ellipsoid(spark: SparkSession, shape: tuple[int, int, int]) -> DataFrame:
+    """(cell, mask): 1 inside the ellipsoid that touches the grid's faces, 0 outside."""
+    away = sum(((2 * (at + F.lit(0.5)) / F.lit(size) - 1) ** 2 for at, size in zip(place(shape, F.col("id")), shape, strict=True)), F.lit(0.0))
+    return spark.range(shape[0] * shape[1] * shape[2]).select(F.col("id").alias("cell"), (away <= 1).cast("int").alias("mask"))
+
+
+def irregular_masks(base: DataFrame, n: int, shape: tuple[int, int, int], seed: int = 1, noise: float = 8.0, fwhm: float = 10.0, reach: int = 13, level: float = 0.6) -> DataFrame:
+    """(obs, cell, mask) of n observations: the base mask (cell, mask) with noise, smoothed and cut at ``level``, so that edges differ by observation."""
+    each = base.select("cell", "mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("obs"))
+    rough = each.select("obs", "cell", (F.col("mask") + noise * normal(seed, "obs", "cell")).alias("y"))
+    return smooth(rough, shape, fwhm, reach).select("obs", "cell", (F.col("y") > level).cast("int").alias("mask"))

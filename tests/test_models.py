@@ -312,6 +312,25 @@ def test_smoothing(spark):
     np.testing.assert_allclose(got, v, atol=1e-12)
 
 
+def test_irregular_masks(spark):
+    shape, n = (8, 9, 10), 3
+    base = simulate.ellipsoid(spark, shape)
+    centre = [(2 * (np.arange(s) + 0.5) / s - 1) ** 2 for s in shape]
+    inside = (centre[0][:, None, None] + centre[1][:, None] + centre[2] <= 1).astype(int)
+    assert [r["mask"] for r in base.orderBy("cell").collect()] == inside.ravel().tolist()
+    plain = simulate.irregular_masks(base, 1, shape, noise=0.0, fwhm=2.0, reach=2).orderBy("cell").collect()
+    smooth = np.array([r["y"] for r in simulate.smooth(base.select(F.lit(0).cast("long").alias("obs"), "cell", F.col("mask").cast("double").alias("y")), shape, 2.0, 2).orderBy("cell").collect()])
+    assert [r["mask"] for r in plain] == (smooth > 0.6).astype(int).tolist()
+    masks = simulate.irregular_masks(base, n, shape, seed=3, noise=1.0, fwhm=3.0, reach=3)
+    got = np.array([r["mask"] for r in masks.orderBy("obs", "cell").collect()]).reshape(n, -1)
+    assert got.shape == (n, inside.size) and len({tuple(m) for m in got}) == n
+    assert (got[:, inside.ravel() == 0].mean() < 0.2) and 0.3 < got[:, inside.ravel() == 1].mean() < 1
+    assert sorted(map(tuple, masks.collect())) == sorted(map(tuple, simulate.irregular_masks(base.repartition(5), n, shape, seed=3, noise=1.0, fwhm=3.0, reach=3).collect()))
+    readings = spark.range(n).select(F.col("id").alias("obs")).crossJoin(base.select("cell")).withColumn("y", F.lit(2.0))
+    kept = clean(join_mask(readings, masks, ["obs", "cell"]), mask="mask")
+    assert kept.where("y <> 0").count() == got.sum()
+
+
 def test_metrics(spark):
     a = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 9.0)], "cell long, value double")
     b = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 0.0)], "cell long, value double")
@@ -324,13 +343,18 @@ def test_ring_or_inner(spark):
 
 
 def test_stream_of_readings_ends_where_the_batch_does(spark, planted, tmp_path):
-    from gridols.streaming.incremental import latest, start_fit
+    from gridols.streaming.incremental import BASE, compact, latest, parts, start_fit
 
     rows, _ = planted
     for k in range(3):
         rows.where(F.col("obs") % 3 == k).select("cell", "y", *X3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("cell long, y double, x0 double, x1 double, x2 double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    start_fit(stream, X3, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    start_fit(stream, X3, str(tmp_path / "out"), str(tmp_path / "ck"), every=2).awaitTermination()
+    last = max(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
+    assert last >= 2 and parts(spark, str(tmp_path / "out")) == (last - (last + 1) % 2, [last] * ((last + 1) % 2))
+    (tmp_path / "out" / str(last + 1)).mkdir()  # a batch that never ended is not read
+    compact(spark, str(tmp_path / "out"))
+    assert parts(spark, str(tmp_path / "out")) == (last, []) and (tmp_path / "out" / f"{BASE}{last}").is_dir()
     want = {r["cell"]: r for r in fit(product_forms(rows, X3), 3).collect()}
     got = latest(spark, str(tmp_path / "out")).collect()
     assert {r["cell"] for r in got} == want.keys()
