@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import decontam, langid, lines, pieces, sharding, simhash, suffixes, token_files, topk, toxicity
+from gridols.llm import decontam, langid, lines, negatives, pieces, sharding, simhash, suffixes, token_files, topk, toxicity
 from gridols.llm.common import read
 
 
@@ -58,6 +58,13 @@ def op10_decontamination(spark, sf_dir):
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    """Labels of every seventh row are moved on by one, as a stand-in for wrong labels."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +76,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 SQL = {
@@ -89,4 +97,15 @@ SQL = {
                      coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS kept FROM m GROUP BY doc_id)
         SELECT s.doc_id, coalesce(n, 0) AS lines_in, coalesce(cut, 0) AS lines_cut, sha256(CASE WHEN cut > 0 THEN kept ELSE text END) AS kept_sha256
         FROM s LEFT JOIN c USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.row, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT row, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5),
+        n AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY p.row, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+              FROM p JOIN s ON p.row = s.row AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
