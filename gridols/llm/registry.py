@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import decontam, langid, lines, negatives, pieces, sharding, simhash, suffixes, token_files, topk, toxicity
+from gridols.llm import decontam, langid, lines, negatives, phrases, pieces, sharding, simhash, suffixes, token_files, topk, toxicity
 from gridols.llm.common import read
 
 
@@ -65,6 +65,10 @@ def op11_hard_negatives(spark, sf_dir):
     return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op13_substring_dedup(spark, sf_dir):
+    return phrases.digest(phrases.deduplicate(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 SQL = {
