@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridols.llm import decontam, langid, lines, negatives, phrases, pieces, sharding, simhash, suffixes, token_files, topk, toxicity
+from gridols.llm import decontam, dialogues, langid, lines, negatives, phrases, pieces, sharding, simhash, suffixes, token_files, topk, toxicity
 from gridols.llm.common import read
 
 
@@ -65,6 +65,11 @@ def op11_hard_negatives(spark, sf_dir):
     return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    given = read(spark, sf_dir, "conversations")
+    return dialogues.digest(dialogues.repair(dialogues.damage(given), given))
+
+
 def op13_substring_dedup(spark, sf_dir):
     return phrases.digest(phrases.deduplicate(read(spark, sf_dir, "documents")))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -113,4 +119,29 @@ SQL = {
                      CAST(row_number() OVER (PARTITION BY p.row, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank
               FROM p JOIN s ON p.row = s.row AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    # crc32 by its table; the states are those of the roles' pattern: 0 nothing yet, 1 system, 2 user, 3 assistant
+    "op12_conversation_repair": """
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                                     lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) % 20 AS d FROM conversations, crc),
+        m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM g),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[ \\t-\\r]+$', '') AS body FROM m),
+        f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                     left(role, 1) AS x, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before FROM o),
+        totals AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+                          count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+        puts(s, e, c, a, new) AS (VALUES (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (2, 3, 5, 'I', ['assistant:']), (3, 2, 5, 'I', ['user:']),
+                         (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', [])),
+        reads(s, x, e, role) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+        edits AS (SELECT conv_id, i, s, s AS e, 2 AS c, 'D' AS a, CAST([] AS VARCHAR[]) AS new FROM f, (SELECT unnest([0, 1, 2, 3]) AS s)
+                  UNION ALL SELECT conv_id, i, s, e, CASE fault WHEN 't' THEN 5 ELSE 0 END, 'K', [f.role || ':' || text] FROM f JOIN reads USING (x) WHERE fault NOT IN ('b', 'd')
+                  UNION ALL SELECT conv_id, i, s, e, CASE fault WHEN 't' THEN 6 ELSE 1 END, 'R', [r.role || ':' || text] FROM f, reads r WHERE fault NOT IN ('b', 'd') AND r.role <> ''),
+        steps AS (SELECT conv_id, i, edits.s, puts.e, edits.c + puts.c AS c, edits.a || puts.a AS a, edits.new || puts.new AS new FROM edits JOIN puts ON edits.e = puts.s),
+        w AS (SELECT conv_id, 0 AS i, e AS s, CAST(c AS BIGINT) AS cost, a AS audit, CAST(new AS VARCHAR[]) AS kept FROM (SELECT DISTINCT conv_id FROM conversations), puts WHERE s = 0
+              UNION ALL SELECT w.conv_id, w.i + 1, t.e, min(row(cost + c, audit || a))[1], min(row(cost + c, audit || a))[2], arg_min(kept || new, row(cost + c, audit || a))
+              FROM w JOIN steps t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = w.i + 1 AND t.s = w.s GROUP BY w.conv_id, w.i, t.e),
+        best AS (SELECT w.conv_id, min(row(cost, audit)) AS way, arg_min(kept, row(cost, audit)) AS kept FROM w LEFT JOIN totals t ON w.conv_id IS NOT DISTINCT FROM t.conv_id WHERE w.i = coalesce(n, 0) AND s IN (0, 3) GROUP BY w.conv_id)
+        SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               way[1] AS cost, way[2] AS audit, sha256(array_to_string(kept, chr(10))) AS repaired_sha256 FROM best b LEFT JOIN totals t ON b.conv_id IS NOT DISTINCT FROM t.conv_id""",
 }
