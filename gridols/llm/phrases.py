@@ -7,8 +7,8 @@ hashes; hashes only say where to look.
    anchors. Consecutive windows of one anchor make a run. Runs (two hashes, a document and a place) are aggregated by
    anchor: those of one document only are done with.
 2. Confirmed passages. Runs of equal hash are one content, whose words are fetched once, from its smallest document. An anchor
-   with one content has a passage, the whole run. Where an anchor has several contents, their windows are aggregated by a
-   128-bit digest, which gives each window's smallest document (its owner) and largest one; consecutive windows of a content
+   with one content has a passage, the whole run. Where an anchor has several contents, their windows are aggregated by
+   anchor and digest, which gives each window's smallest document (its owner) and largest one; consecutive windows of a content
    that recur and have the same owner make a passage.
 3. Automata. Anchors are put in shards by where their first document has them (``REACH`` words of a document a shard), so what a
    document copies from another stays in one piece. A shard whose anchors cover much text gets several automata, each for
@@ -178,18 +178,19 @@ def owned_runs(contents: DataFrame, salts: DataFrame) -> DataFrame:
     """(key, salt, owner, words): passages of contents whose anchor has several, by the owners of their windows."""
 
     def windows(batches):
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
         for b in batches:
             for a, h, lo, hi, words in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 spans = [m.span() for m in re.finditer(rb"[^ ]+", words)]
                 n = len(spans) - LENGTH + 1
-                digests = [xxh3_128_digest(words[spans[j][0] : spans[j + LENGTH - 1][1]]) for j in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *(pa.array([v] * n, pa.int64()) for v in (a, h, lo, hi)), pa.array(range(n), pa.int32())], ["w", "a", "h", "lo", "hi", "j"])
+                digests = np.array([xxh3_64_intdigest(words[spans[j][0] : spans[j + LENGTH - 1][1]]) for j in range(n)], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), *(pa.array([v] * n, pa.int64()) for v in (a, h, lo, hi)), pa.array(range(n), pa.int32())], ["w", "a", "h", "lo", "hi", "j"])
 
-    each = materialize(contents.select("a", "h", "lo", "hi", "words").mapInArrow(windows, "w binary, a long, h long, lo long, hi long, j int"), "windows")
-    owners = each.groupBy(F.col("w").alias("own_w")).agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).where("owner < last")
-    needed = each.join(owners, each["w"] == owners["own_w"]).where("owner < hi")
+    each = materialize(contents.select("a", "h", "lo", "hi", "words").mapInArrow(windows, "w long, a long, h long, lo long, hi long, j int"), "windows")
+    owners = each.groupBy(F.col("a").alias("own_a"), F.col("w").alias("own_w")).agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).where("owner < last").drop("last")
+    owners = materialize(owners, "owners")
+    needed = each.join(owners, (each["a"] == owners["own_a"]) & (each["w"] == owners["own_w"])).where("owner < hi")
     told = needed.groupBy(F.col("a").alias("of_a"), F.col("h").alias("of_h")).agg(F.collect_list(F.struct("j", "owner")).alias("told"))
 
     def passages(batches):
@@ -283,9 +284,10 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, kept): the removed words as (start, end) pairs of word numbers, and the words that stay, joined by one space."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = texts(documents).select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("alias"))
-    every = materialize(runs(docs), "runs")
-    live = every.groupBy(F.col("a").alias("of_a")).agg(F.min("doc").alias("lo"), F.max("doc").alias("last")).where("lo < last")
-    shared = materialize(every.join(live.drop("last"), every["a"] == live["of_a"]).drop("of_a"), "shared")
+    every = runs(docs)  # read from the texts twice: that costs less than to keep all runs
+    live = every.groupBy(F.col("a").alias("of_a")).agg(F.min("doc").alias("lo"), F.max("doc").alias("last")).where("lo < last").drop("last")
+    live = materialize(live, "recurring")  # a table, so that the join can split skewed partitions
+    shared = materialize(every.join(live, every["a"] == live["of_a"]).drop("of_a"), "shared")
 
     contents = shared.groupBy("a", "h", "n").agg(F.min(F.struct("doc", "at", "alias")).alias("first"), F.max("doc").alias("hi"), F.count("*").alias("times"))
     contents = materialize(contents.select("a", "h", "n", "first.*", "hi", "times"), "contents")
