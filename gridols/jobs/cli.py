@@ -52,8 +52,8 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
     if config.get("analysis_mask"):
         inside, about = read_images(spark, [config["analysis_mask"]])
         validate.geometry(meta.unionByName(about))
+        readings = within(readings, inside.select("cell", F.col("y").alias("mask")), check=True)  # the doubles are checked
         analysis = inside.select("cell", F.col("y").cast("int").alias("mask"))
-        readings = within(readings, analysis, check=True)
     rows = attach_design(clean(readings, "mask" if config.get("data_mask_files") else None, model.threshold), design)
     forms = product_forms(rows, xs).persist()  # a row for each cell: what follows reads it several times, the images once
     kept = mask.analysed(forms, model.p, len(paths), model.min_percent, model.min_n, analysis)

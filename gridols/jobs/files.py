@@ -19,7 +19,8 @@ from gridols.operators.clean import clean, join_mask
 from gridols.operators.ranking import numbered
 from gridols.sources.delimited import read_matrix, read_paths
 from gridols.sources.folders import file_system, shared_folder, write_text
-from gridols.sources.images import decode_header, encode, encode_pair, read_images
+from gridols.sources.images import located, read_images, read_volumes
+from gridols.sources.nifti import decode_header, encode, encode_pair
 from gridols.sources.observations import from_arrays
 from gridols.spec import Contrast, fraction, read_yaml
 
@@ -30,18 +31,23 @@ AFFINE = np.array([[2.0, 0, 0, -6], [0, 2.0, 0, 4], [0, 0, -3.0, 1], [0, 0, 0, 1
 def written_images(rows: DataFrame, folder: str, wide: str = "false") -> list[str]:
     """Addresses of one image for each row (obs, values), in the order of obs; rows with ``wide`` get another affine.
 
-    Images of every third obs are zipped, of every next one a pair of files, the others plain.
+    values has the volumes of ``SHAPE`` one after the other. Images of every third obs are zipped and have their affine as a
+    quaternion, those of every next one are a pair of files (the values zipped for every other one), the others plain.
     """
 
     def run(batches):
         for b in batches:
             out = []
             for obs, values, other in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                v, affine = np.array(values.as_py(), float).reshape(SHAPE), np.diag([2.0, 2, 2, 1]) @ AFFINE if other else AFFINE
+                v, affine = np.moveaxis(np.array(values.as_py(), float).reshape(-1, *SHAPE), 0, -1), np.diag([2.0, 2, 2, 1]) @ AFFINE if other else AFFINE
+                v = v[..., 0] if v.shape[-1] == 1 else v
                 if obs % 3 == 0:
-                    parts = {".nii.gz": gzip.compress(encode(v, affine))}
-                elif obs % 3 == 1:
+                    parts = {".nii.gz": gzip.compress(encode(v, affine, by_rows=False), mtime=0)}
+                elif obs % 6 == 1:
                     parts = dict(zip((".hdr", ".img"), encode_pair(v, affine)))
+                elif obs % 3 == 1:
+                    head, data = encode_pair(v, affine)
+                    parts = {".img.gz": gzip.compress(data, mtime=0), ".hdr": head}
                 else:
                     parts = {".nii": encode(v, affine)}
                 for ending, data in parts.items():
@@ -59,18 +65,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs"), "label", F.col("embedding").cast("array<double>").alias("values"))
 
 
-def image_list(spark: SparkSession, sf_dir: str, wide: str = "false") -> list[str]:
-    """The study's images, by way of a text file that lists them."""
+#: Volumes of an image in the queries below, and planes that a task reads of the large ones.
+VOLUMES = 250
+
+
+def volume_files(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str, int]]:
+    """The vectors as images of ``VOLUMES`` volumes, found by way of a text file that lists them."""
     base = shared_folder(spark, "images")
-    rows = vectors(spark, sf_dir)
-    write_text(f"{base}/list.txt", "\n".join(written_images(rows, f"{base}/y", wide)) + "\n")
-    return read_paths(f"{base}/list.txt")
+    block = F.floor(F.col("obs") / VOLUMES)
+    several = vectors(spark, sf_dir).groupBy(block.alias("obs")).agg(F.sort_array(F.collect_list(F.struct("obs", "values"))).alias("v"))  # at most VOLUMES a group
+    write_text(f"{base}/list.txt", "\n".join(written_images(several.select("obs", F.flatten("v.values").alias("values")), f"{base}/y")) + "\n")
+    return located(spark, read_paths(f"{base}/list.txt"))
 
 
 def image_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per image its place in the list, voxels and sums that tell a voxel's number."""
-    readings, _ = read_images(spark, image_list(spark, sf_dir))
-    return readings.groupBy("obs").agg(F.count("*").alias("n_cells"), F.round(F.sum("y"), 6).alias("total"), F.round(F.sum(F.col("cell") * F.col("y")), 5).alias("weighted"))
+    """By image and volume: voxels and sums that tell a voxel's number; slabs are small, so that plain images are read by several tasks."""
+    readings = read_volumes(spark, volume_files(spark, sf_dir), slab_bytes=1 << 14)
+    return readings.groupBy("obs", "vol").agg(F.count("*").alias("n_cells"), F.round(F.sum("y"), 6).alias("total"), F.round(F.sum(F.col("cell") * F.col("y")), 5).alias("weighted"))
+
+
+def image_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes 1 and 2 of every volume, whose bytes alone are read; by image and plane."""
+    readings = read_volumes(spark, volume_files(spark, sf_dir), slab_bytes=1 << 14, planes="1:2")
+    return readings.groupBy("obs", "plane").agg(F.count("*").alias("n_cells"), F.round(F.sum("y"), 6).alias("total"), F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"))
 
 
 def image_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +177,7 @@ def study_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(told.items()), "check string, refused boolean")
 
 
-QUERIES = {f.__name__: f for f in (image_readings, image_geometry, delimited_design, config_study, exported_images, data_mask_join, study_checks)}
+QUERIES = {f.__name__: f for f in (image_readings, image_slabs, image_geometry, delimited_design, config_study, exported_images, data_mask_join, study_checks)}
 
 READ = "SELECT vec_id AS obs, label AS x1, unnest(range(len(embedding))) AS cell, CAST(unnest(embedding) AS DOUBLE) AS y0 FROM embeddings"
 STUDY = f"""WITH seen AS (SELECT obs, cell, CAST(x1 AS DOUBLE) AS x1, y0 * CASE WHEN (obs + cell) % 7 <> 0 THEN 1 ELSE 0 END AS y1 FROM ({READ}) WHERE cell % 16 <> 5),
@@ -171,7 +188,10 @@ STUDY = f"""WITH seen AS (SELECT obs, cell, CAST(x1 AS DOUBLE) AS x1, y0 * CASE
     r AS (SELECT *, (syy - b0 * sy - b1 * sxy) / (n - 2) AS resms FROM b),
     t AS (SELECT *, sqrt(n / det * resms) AS se FROM r)"""
 SQL = {
-    "image_readings": f"SELECT row_number() OVER (ORDER BY obs) - 1 AS obs, count(*) AS n_cells, round(sum(y0), 6) AS total, round(sum(cell * y0), 5) AS weighted FROM ({READ}) q GROUP BY q.obs",
+    "image_readings": f"""WITH v AS (SELECT vec_id, dense_rank() OVER (ORDER BY vec_id // 250) - 1 AS obs, row_number() OVER (PARTITION BY vec_id // 250 ORDER BY vec_id) - 1 AS vol FROM embeddings)
+        SELECT v.obs, CAST(vol AS INTEGER) AS vol, count(*) AS n_cells, round(sum(y0), 6) AS total, round(sum(cell * y0), 5) AS weighted FROM ({READ}) q JOIN v ON q.obs = vec_id GROUP BY v.obs, vol""",
+    "image_slabs": f"""WITH v AS (SELECT vec_id, dense_rank() OVER (ORDER BY vec_id // 250) - 1 AS obs FROM embeddings)
+        SELECT v.obs, CAST(cell % 4 AS INTEGER) AS plane, count(*) AS n_cells, round(sum(y0), 6) AS total, CAST(min(cell) AS BIGINT) AS first_cell, CAST(max(cell) AS BIGINT) AS last_cell FROM ({READ}) q JOIN v ON q.obs = vec_id WHERE cell % 4 IN (1, 2) GROUP BY v.obs, 2""",
     "image_geometry": "SELECT 4 AS first_axis, CASE WHEN label = 9 THEN 4.0 ELSE 2.0 END::DOUBLE AS scale, CASE WHEN label = 9 THEN -12.0 ELSE -6.0 END::DOUBLE AS shift, count(*) AS n_images, count(*) < (SELECT count(*) FROM embeddings) AS refused FROM embeddings GROUP BY label = 9",
     "delimited_design": "SELECT count(*) AS n_rows, CAST(count(*) AS DOUBLE) AS sum0, CAST(sum(label) AS DOUBLE) AS sum1, CAST(sum(k) AS DOUBLE) AS weighted0, CAST(sum(label * k) AS DOUBLE) AS weighted1 FROM (SELECT label, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings)",
     "config_study": f"""{STUDY}

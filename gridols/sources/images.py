@@ -1,181 +1,97 @@
-"""Volumetric images in the NIfTI-1 format, read and written with numpy; voxels are numbered with the last axis fastest."""
+"""Volumetric images read into rows and written from maps; the format is in ``nifti``, the data source in ``volumes``."""
 
 from __future__ import annotations
 
-import gzip
-import struct
+import json
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridols.sources.folders import file_system, qualified
+from gridols.operators.maps import place
+from gridols.sources import volumes
+from gridols.sources.folders import file_system, qualified, read_text
+from gridols.sources.nifti import decode_header
 
-#: Fixed values of the published format: data type codes.
-TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+#: Kept under this module's name as well.
+from gridols.sources.nifti import decode, encode, encode_pair, header  # noqa: E402, F401
 
 
-HEADER = 348
+def located(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str, int]]:
+    """The files of the images by full address; one that is missing or listed twice is refused."""
+    files = volumes.locate(list(qualified(spark, paths)))
+    seen: set[str] = set()
+    for k, values, _, _ in files:
+        if values in seen:
+            raise ValueError(f"{paths[k]} is listed more than once")
+        seen.add(values)
+    return files
 
 
-def start_of(data: bytes, size: int = HEADER) -> bytes:
-    """The first bytes of a file, plain or gzipped."""
-    return zlib.decompressobj(31).decompress(data, size) if data[:2] == b"\x1f\x8b" else data[:size]
+def read_volumes(spark: SparkSession, files: list[tuple[int, str, str, int]], slab_bytes: int = volumes.SLAB_BYTES, **chosen: str) -> DataFrame:
+    """(obs, vol, plane, cell, y) of located images; chosen: images, volumes, planes or cells as "first:last", which alone are read."""
+    spark.dataSource.register(volumes.Images)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    told = {"files": json.dumps(files), "slab_bytes": slab_bytes, "tasks": spark.sparkContext.defaultParallelism, "pushdown": pushdown} | chosen
+    return spark.read.format(volumes.NAME).options(**told).load()
 
 
-def decode_header(data: bytes):
-    """(shape, affine, type, place of the values, slope, intercept) of a header's bytes, plain or gzipped."""
-    head = start_of(data)
-    order = "<" if len(head) >= HEADER and struct.unpack_from("<i", head, 0)[0] == HEADER else ">"
-    if len(head) < HEADER or struct.unpack_from(f"{order}i", head, 0)[0] != HEADER:
-        raise ValueError("not a NIfTI-1 file")
-    dim = struct.unpack_from(f"{order}8h", head, 40)
-    kind = struct.unpack_from(f"{order}h", head, 70)[0]
-    start, slope, inter = struct.unpack_from(f"{order}3f", head, 108)
-    shape = dim[1 : 1 + dim[0]]
-    while len(shape) > 3 and shape[-1] == 1:
-        shape = shape[:-1]
-    affine = np.eye(4)
-    if struct.unpack_from(f"{order}h", head, 254)[0] > 0:
-        affine[:3] = np.array(struct.unpack_from(f"{order}12f", head, 280)).reshape(3, 4)
-    else:
-        affine[[0, 1, 2], [0, 1, 2]] = struct.unpack_from(f"{order}3f", head, 80)
-    return shape, affine, np.dtype(order + TYPES[kind]), int(start), slope, inter
-
-
-def decode(data: bytes, head: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(volume as doubles, 4 by 4 affine) of a file's bytes, plain or gzipped; head is the header's file if it is one of its own."""
-    shape, affine, kind, start, slope, inter = decode_header(data if head is None else head)
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    values = np.frombuffer(data, kind, int(np.prod(shape)), start).astype(float).reshape(shape, order="F")
-    if np.isfinite(slope) and slope not in (0.0, 1.0) or inter:
-        values = values * (slope or 1.0) + inter
-    return values, affine
-
-
-def header(shape: tuple[int, ...], affine: np.ndarray | None = None, alone: bool = False) -> bytes:
-    """The 352 bytes before the doubles of a single-file image, or the header file of a pair."""
-    affine = np.eye(4) if affine is None else np.asarray(affine, float)
-    head = bytearray(352)
-    struct.pack_into("<i", head, 0, HEADER)
-    struct.pack_into("<8h", head, 40, len(shape), *shape, *[1] * (7 - len(shape)))
-    struct.pack_into("<2h", head, 70, 64, 64)
-    struct.pack_into("<8f", head, 76, 1.0, *np.linalg.norm(affine[:3, :3], axis=0), 1.0, 1.0, 1.0, 1.0)
-    struct.pack_into("<3f", head, 108, 0.0 if alone else 352.0, 1.0, 0.0)
-    struct.pack_into("<2h", head, 252, 0, 1)
-    struct.pack_into("<12f", head, 280, *affine[:3].ravel())
-    head[344:348] = b"ni1\0" if alone else b"n+1\0"
-    return bytes(head)
-
-
-def encode(volume: np.ndarray, affine: np.ndarray | None = None) -> bytes:
-    """A single-file image of doubles."""
-    return header(volume.shape, affine) + np.asarray(volume, "<f8").tobytes(order="F")
-
-
-def encode_pair(volume: np.ndarray, affine: np.ndarray | None = None) -> tuple[bytes, bytes]:
-    """An image of doubles as the contents of its .hdr and .img files."""
-    return header(volume.shape, affine, alone=True), np.asarray(volume, "<f8").tobytes(order="F")
+def read_meta(spark: SparkSession, files: list[tuple[int, str, str, int]]) -> DataFrame:
+    """(path, obs, shape, affine) of located images, from the first bytes of their headers."""
 
+    def heads(batches):
+        for b in batches:
+            told = [decode_header(volumes.first_bytes(f)) for f in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array([list(t.shape) for t in told], pa.list_(pa.int32())), pa.array([t.affine.ravel().tolist() for t in told], pa.list_(pa.float64()))], ["path", "obs", "shape", "affine"])
 
-def parts_of(path: str) -> list[str]:
-    """The files of an image: itself, or header and values where it is named by either of a pair."""
-    stem, dot, ending = path.rpartition(".")
-    return [f"{stem}.hdr", f"{stem}.img"] if dot and ending in ("hdr", "img") else [path]
+    rows = spark.createDataFrame(pa.table({"obs": [f[0] for f in files], "path": [f[1] for f in files], "head": [f[2] for f in files]}, pa.schema([("obs", pa.int64()), ("path", pa.string()), ("head", pa.string())])))
+    return rows.mapInArrow(heads, "path string, obs long, shape array<int>, affine array<double>")
 
 
-def read_images(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def read_images(spark: SparkSession, paths: list[str], slab_bytes: int = volumes.SLAB_BYTES) -> tuple[DataFrame, DataFrame]:
     """(readings (obs, cell, y), meta (path, obs, shape, affine)) of the images; obs is a path's place in the list.
 
-    Files are known by their full addresses; a file that is listed twice is refused. meta reads headers alone.
+    Cells of an image of several volumes are numbered with the volume fastest. A path may lack its ending, and a pair may be
+    named by either of its files; a file that is listed twice, or does not exist, is refused.
     """
-    files = [(k, f) for k, p in enumerate(paths) for f in parts_of(p)]
-    place: dict[str, int] = {}
-    for (k, f), name in zip(files, qualified(spark, [f for _, f in files]), strict=True):
-        if name in place:
-            raise ValueError(f"{f} is listed more than once")
-        place[name] = k
-    held = spark.sparkContext.broadcast(place)
-    found = spark.read.format("binaryFile").load([f for _, f in files]).select("path", "content")
-    pair = F.col("path").rlike(r"\.(hdr|img)$")
-    read = "path string, obs long, content binary"
-
-    def numbered(batches):
-        for b in batches:
-            names = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value[p] for p in names], pa.int64()), b.column(1)], ["path", "obs", "content"])
-
-    def starts(batches):
-        for b in batches:
-            names = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value[p] for p in names], pa.int64()), pa.array([start_of(c.as_py()) for c in b.column(1)], pa.binary())], ["path", "obs", "content"])
-
-    def voxels(batches):
-        for b in batches:
-            for obs, content, head in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                v = decode(content.as_py(), head.as_py())[0].ravel(order="C")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), obs, np.int64)), pa.array(np.arange(len(v))), pa.array(v)], ["obs", "cell", "y"])
-
-    def heads(batches):
-        for b in batches:
-            told = [decode_header(c.as_py())[:2] for c in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(t[0]) for t in told], pa.list_(pa.int32())), pa.array([t[1].ravel().tolist() for t in told], pa.list_(pa.float64()))], ["path", "obs", "shape", "affine"])
-
-    told = found.where(~F.col("path").endswith(".img")).mapInArrow(starts, read)
-    whole = found.where(~pair).mapInArrow(numbered, read).select("obs", "content", F.lit(None).cast("binary").alias("head"))
-    if len(files) > len(paths):
-        separate = found.where(F.col("path").endswith(".hdr")).mapInArrow(starts, read).select("obs", F.col("content").alias("head"))
-        values = found.where(F.col("path").endswith(".img")).mapInArrow(numbered, read).select("obs", "content")
-        whole = whole.unionByName(values.join(separate, "obs").select("obs", "content", "head"))
-    return whole.mapInArrow(voxels, "obs long, cell long, y double"), told.mapInArrow(heads, "path string, obs long, shape array<int>, affine array<double>")
+    files = located(spark, paths)
+    meta = read_meta(spark, files)
+    many = meta.where(F.size("shape") > 3).select("obs", F.aggregate(F.slice("shape", 4, 99), F.lit(1).cast("long"), lambda a, n: a * n).alias("volumes"))
+    rows = read_volumes(spark, files, slab_bytes)
+    if many.limit(1).count():
+        each = rows.join(F.broadcast(many) if len(files) < 1 << 16 else many, "obs", "left")
+        rows = each.withColumn("cell", F.col("cell") * F.coalesce("volumes", F.lit(1)) + F.col("vol"))
+    return rows.select("obs", "cell", "y"), meta
 
 
-def write_images(maps: DataFrame, folder: str, shape: tuple[int, int, int], affine: np.ndarray | None = None) -> list[str]:
+def write_images(maps: DataFrame, folder: str, shape: tuple[int, int, int], affine: np.ndarray | None = None, slab_bytes: int = volumes.SLAB_BYTES) -> list[str]:
     """Each map as ``folder``/<map>.nii with its volumes on the fourth axis, zero where a map has no value; returns the maps' names.
 
-    A map is written by one task, one volume at a time; a file gets its name when it is whole, so a task that is run again
-    leaves one file.
+    Slabs of planes are written by tasks of their own and then joined; images that an earlier run left in the folder are
+    replaced or removed when all is written, and a failed run changes nothing there.
     """
-    sizes = {r[0]: r[1] + 1 for r in maps.groupBy("map").agg(F.max("vol")).collect()}  # a row for each map
-    cells = int(np.prod(shape))
-
-    def run(batches):
-        out = target = name = None
-        at, volume = 0, np.zeros(cells)
-
-        def upto(vol: int):
-            nonlocal at
-            while at < vol:
-                out.write(np.asarray(volume.reshape(shape), "<f8").tobytes(order="F"))
-                volume[:] = 0
-                at += 1
-
-        def finish():
-            if name is not None:
-                upto(sizes[name])
-                out.close()
-                target[0].move(target[1], target[2])
-
-        for b in batches:
-            names, vols = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
-            cut = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (vols[1:] != vols[:-1]))) if len(vols) else []
-            for lo, hi in zip(cut, [*cut[1:], len(vols)]):
-                if names[lo] != name:
-                    finish()
-                    name, at = str(names[lo]), 0
-                    fs, path = file_system(f"{folder}/{name}.nii")
-                    fs.create_dir(path.rpartition("/")[0])
-                    target = fs, f"{path}.{uuid.uuid4().hex}", path
-                    out = fs.open_output_stream(target[1], compression=None)
-                    out.write(header((*shape, sizes[name]) if sizes[name] > 1 else shape, affine))
-                upto(int(vols[lo]))
-                volume[b.column(2).to_numpy()[lo:hi]] = b.column(3).to_numpy()[lo:hi]
-        finish()
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], ["written"])
-
-    rows = maps.select("map", F.col("vol").cast("int").alias("vol"), F.col("cell").cast("long").alias("cell"), F.col("value").cast("double").alias("value"))
-    rows.repartition("map").sortWithinPartitions("map", "vol", "cell").mapInArrow(run, "written long").collect()  # a row for each task
-    return sorted(sizes)
+    spark, (nx, ny, nz) = maps.sparkSession, shape
+    folder = next(qualified(spark, [f"{folder}/x"])).rpartition("/")[0]
+    spark.dataSource.register(volumes.Images)
+    planes = max(1, slab_bytes // (nx * ny * 8))
+    sizes = [nx * ny * min(planes, nz - z) for z in range(0, nz, planes)]
+    told = {"folder": folder, "staging": f"{folder}/.staging-{uuid.uuid4().hex}", "sizes": json.dumps(sizes), "shape": json.dumps(shape), "affine": json.dumps((np.eye(4) if affine is None else np.asarray(affine, float)).ravel().tolist())}
+    i, j, k = place(shape, F.col("cell"))
+    slab = F.floor(k / planes)
+    rows = maps.select("map", F.col("vol").cast("int").alias("vol"), slab.cast("int").alias("slab"), (((k - slab * planes) * ny + j) * nx + i).cast("long").alias("place"), F.col("value").cast("double").alias("value"))
+    keys = ["map", "vol", "slab"]
+    try:
+        rows.repartition(*keys).sortWithinPartitions(*keys).write.format(volumes.NAME).mode("append").options(stage="slabs", **told).save()
+        made = {(m, v, s): name for m, v, s, name in json.loads(read_text(f"{told['staging']}/slabs.json"))}
+        names = {}
+        for m, v, _ in made:
+            names[m] = max(names.get(m, 0), v + 1)
+        parts = [(m, n, v * len(sizes) + s, 8 * size, made.get((m, v, s))) for m, n in sorted(names.items()) for v in range(n) for s, size in enumerate(sizes)]
+        table = spark.createDataFrame(parts, "map string, volumes int, position long, size long, slab string")
+        table.repartition(max(1, len(names)), "map").sortWithinPartitions("map", "position").write.format(volumes.NAME).mode("append").options(stage="files", **told).save()
+    except BaseException:
+        volumes.remove(told["staging"])
+        raise
+    return sorted(names)

@@ -65,3 +65,24 @@ def test_refuses_wrong_input(spark, study):
         run(spark, config | {"Y_files": str(path / "short.txt")})
     with pytest.raises(ValueError, match="data masks"):
         run(spark, config | {"data_mask_files": str(path / "short.txt")})
+
+
+def test_a_fractional_analysis_mask_is_refused(spark, study):
+    path, _, _ = study
+    half = np.ones((3, 4, 2))
+    half[1, 1, 1] = 0.5
+    (path / "half.nii").write_bytes(encode(half, AFFINE))
+    with pytest.raises(ValueError, match="other than 0 and 1"):
+        run(spark, read_yaml(str(path / "c.yml")) | {"analysis_mask": str(path / "half.nii")})
+
+
+def test_an_earlier_run_is_replaced(spark, study):
+    path, _, _ = study
+    config = read_yaml(str(path / "c.yml"))
+    run(spark, config)
+    (path / "out/images/conF.nii").write_bytes(b"of an earlier run")
+    run(spark, config | {"contrasts": [{"c1": {"name": "both", "vector": "[[1 0] [0 1]]"}}]})
+    names = {p.stem for p in (path / "out/images").glob("*.nii")}
+    assert {"conF", "conR2", "beta"} <= names and not names & {"con", "conSE", "conT"}
+    assert decode((path / "out/images/conF.nii").read_bytes())[0].shape == (3, 4, 2)
+    assert {r[0] for r in spark.read.parquet(f"{path}/out/maps").select("map").distinct().collect()} == names
