@@ -19,7 +19,7 @@ from gridols.operators.fit import fit, full_rank, low_rank_removed
 from gridols.operators.products import product_forms
 from gridols.operators.ranking import numbered
 from gridols.sources.delimited import read_matrix, read_paths
-from gridols.sources.folders import write_text
+from gridols.sources.folders import qualified, write_text
 from gridols.sources.images import read_images, write_images
 from gridols.spec import from_config, read_yaml
 
@@ -64,7 +64,7 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
     maps.write(every, f"{config['outdir']}/maps")
     written = spark.read.parquet(f"{config['outdir']}/maps")
     write_images(written, f"{config['outdir']}/images", shape, affine)
-    write_text(f"{config['outdir']}/inputs.yml", yaml.safe_dump(config))
+    write_text(next(qualified(spark, [f"{config['outdir']}/inputs.yml"])), yaml.safe_dump(config))
     meta.unpersist()
     forms.unpersist()
     return written

@@ -80,13 +80,13 @@ def volume_files(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str,
 
 def image_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By image and volume: voxels and sums that tell a voxel's number; slabs are small, so that plain images are read by several tasks."""
-    readings = read_volumes(spark, volume_files(spark, sf_dir), slab_bytes=1 << 14)
+    readings = read_volumes(spark, volume_files(spark, sf_dir), slab_bytes=1 << 15)
     return readings.groupBy("obs", "vol").agg(F.count("*").alias("n_cells"), F.round(F.sum("y"), 6).alias("total"), F.round(F.sum(F.col("cell") * F.col("y")), 5).alias("weighted"))
 
 
 def image_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes 1 and 2 of every volume, whose bytes alone are read; by image and plane."""
-    readings = read_volumes(spark, volume_files(spark, sf_dir), slab_bytes=1 << 14, planes="1:2")
+    readings = read_volumes(spark, volume_files(spark, sf_dir), slab_bytes=1 << 15, planes="1:2")
     return readings.groupBy("obs", "plane").agg(F.count("*").alias("n_cells"), F.round(F.sum("y"), 6).alias("total"), F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"))
 
 

@@ -12,7 +12,8 @@ from gridols.jobs import fixtures as fx
 from gridols.operators import contrasts, maps, mask, validate
 from gridols.operators.clean import clean, outside, within
 from gridols.operators.fit import closed_form, fit, full_rank, low_rank_removed, ring_or_inner
-from gridols.operators.products import add_forms, combine_patterns, forms_by_pattern, patterns, product_forms
+from gridols.operators.patterns import combine_patterns, forms_by_pattern, patterns
+from gridols.operators.products import add_forms, product_forms
 from gridols.sources.observations import from_arrays, from_rows
 from gridols.spec import Contrast, Model
 
@@ -253,8 +254,8 @@ QUERIES = {
     )
 }
 
-from gridols.jobs import files, wide  # noqa: E402
+from gridols.jobs import files, stored, studies, wide  # noqa: E402
 from gridols.jobs.sql import SQL  # noqa: E402
 
-QUERIES |= files.QUERIES | wide.QUERIES
-SQL |= files.SQL | wide.SQL
+QUERIES |= files.QUERIES | stored.QUERIES | studies.QUERIES | wide.QUERIES
+SQL |= files.SQL | stored.SQL | studies.SQL | wide.SQL

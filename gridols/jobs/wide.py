@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gridols.functions.metrics import compare
 from gridols.jobs import fixtures as fx
-from gridols.operators import contrasts, mask
+from gridols.operators import mask
 from gridols.operators.clean import clean
 from gridols.operators.fit import fit, ring_or_inner
+from gridols.operators.sweep import swept, t_statistics
 from gridols.operators.products import product_forms
 from gridols.sources.observations import from_rows
 from gridols.spec import Contrast, Model
@@ -25,12 +26,12 @@ def lines(spark: SparkSession, sf_dir: str, p: int) -> DataFrame:
 
 
 def wide_fit(p: int):
-    """The query of a width: by cell, part, the last coefficient, its T statistic and the residual variance."""
+    """The query of a width: by cell, part, the last coefficient, its T statistic and the residual variance, without a Python worker."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         last = Model(p, (Contrast.of("last", [0.0] * (p - 1) + [1.0]),))
         kept = mask.analysed(product_forms(lines(spark, sf_dir, p), [f"x{k}" for k in range(p)]), p, F.col("n_rows"), min_percent=0.5)
-        out = contrasts.infer(fit(kept, p).where(f"rank = {p}"), last)
+        out = t_statistics(swept(kept, p).where(f"rank = {p}"), last)
         return out.select("cell", ring_or_inner().alias("part"), "n", F.round(F.col("con")[0], 3).alias("con"), F.round(F.col("con_t")[0], 4).alias("con_t"), F.round(F.col("resms") / 1e6, 4).alias("resms"))
 
     query.__name__ = f"wide_fit_p{p}"

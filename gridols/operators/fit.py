@@ -11,16 +11,34 @@ FIT = "n long, n_rows long, rank int, beta array<double>, rss double, resms doub
 LOG_2PI = 1.8378770664093453
 
 
+def balanced(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(D A D, the diagonal of D) of stacked symmetric matrices, D chosen so that the diagonal of D A D is 1 where A's is not 0."""
+    diagonal = np.einsum("vii->vi", a)
+    d = 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    return a * d[:, :, None] * d[:, None, :], d
+
+
+def inverse_and_log_det(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses and logarithms of determinants of stacked positive definite matrices, whatever the scales of their columns.
+
+    A is D^-1 (D A D) D^-1, so its inverse is D (D A D)^-1 D, and its determinant that of D A D over the square of D's.
+    """
+    m, d = balanced(a)
+    inverse = np.linalg.solve(m, np.broadcast_to(np.eye(a.shape[1]), a.shape)) * d[:, :, None] * d[:, None, :]
+    return inverse, np.linalg.slogdet(m)[1] - 2 * np.log(d).sum(axis=1)
+
+
 def solve(n: np.ndarray, xtx: np.ndarray, xty: np.ndarray, yty: np.ndarray):
     """rank, beta, rss, resms, sigma2, llh and (X'X)^-1 of stacked cells; cells of low rank get NaN."""
     p = xty.shape[1]
     finite = np.isfinite(xtx).all(axis=(1, 2))
     rank = np.zeros(len(n), np.int32)
-    rank[finite] = np.linalg.matrix_rank(xtx[finite])
+    rank[finite] = np.linalg.matrix_rank(balanced(xtx[finite])[0])
     ok = np.flatnonzero(rank == p)
     beta, inverse = np.full((len(n), p), np.nan), np.full((len(n), p, p), np.nan)
-    beta[ok] = np.linalg.solve(xtx[ok], xty[ok][..., None])[..., 0]
-    inverse[ok] = np.linalg.pinv(xtx[ok])
+    m, d = balanced(xtx[ok])
+    beta[ok] = d * np.linalg.solve(m, (d * xty[ok])[..., None])[..., 0]
+    inverse[ok] = inverse_and_log_det(xtx[ok])[0]
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         rss = yty - np.einsum("vi,vij,vj->v", beta, xtx, beta)
         resms, sigma2 = rss / (n - p), rss / n
@@ -51,6 +69,21 @@ def fit(forms: DataFrame, p: int, key: str = "cell") -> DataFrame:
     return forms.select(key, F.col("n").cast("long"), F.col("n_rows").cast("long"), "xtx", "xty", "yty").mapInArrow(run, f"{key} {kind}, {FIT}")
 
 
+def inverses(forms: DataFrame, p: int, key: str = "cell") -> DataFrame:
+    """(cell, inverse, log_det) of each cell's X'X; null where it has low rank."""
+
+    def run(batches):
+        for b in batches:
+            xtx = stacked(b.column(1), p, p)
+            ok = np.isfinite(xtx).all(axis=(1, 2))
+            ok[ok] = np.linalg.matrix_rank(balanced(xtx[ok])[0]) == p
+            inverse, log_det = np.zeros_like(xtx), np.zeros(len(xtx))
+            inverse[ok], log_det[ok] = inverse_and_log_det(xtx[ok])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.ravel().tolist() if o else None for v, o in zip(inverse, ok)], pa.list_(pa.float64())), pa.array(log_det, mask=~ok)], [key, "inverse", "log_det"])
+
+    return forms.select(key, "xtx").mapInArrow(run, f"{key} {forms.schema[key].dataType.simpleString()}, inverse array<double>, log_det double")
+
+
 def full_rank(fitted: DataFrame, p: int) -> DataFrame:
     """Cells whose design has full rank; one with all its readings and a design of low rank is an error of the design."""
     low = (F.col("rank") < p) & (F.col("n") == F.col("n_rows"))

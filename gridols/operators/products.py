@@ -1,4 +1,4 @@
-"""Product forms: counts, X'X, X'Y and Y'Y by cell, in one two-phase hash aggregate; and by missingness pattern.
+"""Product forms: counts, X'X, X'Y and Y'Y by cell, in one two-phase hash aggregate.
 
 Sums over X'X take rows with y <> 0 alone; X'Y and Y'Y need no such filter, since a missing y is 0.
 """
@@ -10,9 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridols.operators.clean import attach_design
-from gridols.operators.ranking import numbered
-
 
 def pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
@@ -44,43 +41,5 @@ def add_forms(parts: DataFrame, p: int, keys: tuple[str, ...] = ("cell",)) -> Da
     return parts.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"), added("xtx", p * p), added("xty", p), F.sum("yty").alias("yty"))
 
 
-def pattern_keys(rows: DataFrame) -> DataFrame:
-    """(cell, key, n): a name for the set of each cell's observed observations, and how many they are.
-
-    A name is the count and two exclusive-ors of hashes, which are merged before the shuffle and equal for equal sets; an
-    observation must not have two readings of a cell (``validate.unique_readings``).
-    """
-    seen = rows.where("y <> 0").groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("obs")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "obs")).alias("k"))
-    return seen.select("cell", F.struct("n", "h", "k").alias("key"), "n")
-
-
-def patterns(rows: DataFrame) -> DataFrame:
-    """(cell, pattern_id, n): cells with the same n observed observations share a pattern, numbered by its first cell from 1."""
-    keyed = pattern_keys(rows)
-    first = keyed.groupBy("key").agg(F.min("cell").alias("first"))
-    return keyed.join(numbered(first, "first", "pattern_id"), "key").select("cell", "pattern_id", "n")
-
-
-def forms_by_pattern(rows: DataFrame, design: DataFrame, xs: list[str]) -> DataFrame:
-    """Product forms with X'X computed once a pattern and looked up by cell: pays where patterns are far fewer than cells.
-
-    Here a pattern is named by its first cell, whose readings also say which observations it has.
-    """
-    p, keyed = len(xs), pattern_keys(rows)
-    once = keyed.groupBy("key").agg(F.min("cell").alias("pattern_id"))
-    members = rows.where("y <> 0").select(F.col("cell").alias("pattern_id"), "obs").join(once, "pattern_id")
-    spread = attach_design(members, design.select("obs", *xs))
-    xx = spread.groupBy("key", "pattern_id").agg(*(F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"xx_{i}_{j}") for i, j in pairs(p)))
-    own = rows.groupBy("cell").agg(F.count("*").alias("n_rows"), F.count_if(F.col("y") != 0).alias("n"), *(F.sum(F.col(x) * F.col("y")).alias(f"xy_{i}") for i, x in enumerate(xs)), F.sum(F.col("y") * F.col("y")).alias("yty"))
-    return packed(own.join(keyed.select("cell", "key"), "cell").join(xx, "key"), ["cell", "pattern_id"], p)
-
-
-def combine_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(cell, pattern_id) of two batches' pattern maps together: cells alike in both batches share a number; 0 is absence."""
-    both = a.select("cell", F.col("pattern_id").alias("pa")).join(b.select("cell", F.col("pattern_id").alias("pb")), "cell", "full").fillna(0, ["pa", "pb"])
-    distinct = both.groupBy("pa", "pb").agg(F.min("cell").alias("first"))
-    return both.join(numbered(distinct, "first", "pattern_id"), ["pa", "pb"]).select("cell", "pattern_id")
-
-
 def both_all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -17,7 +17,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where, place = hadoop(spark, folder)
+    where.deleteOnExit(place)  # goes with the application
+    return folder
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own readers and writers see an address."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    where, place = hadoop(spark, folder)
+    where.delete(place, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a new shared folder and read back, so that they are computed once and stay the same."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def qualified(spark: SparkSession, paths: list[str]) -> Iterator[str]:
@@ -26,17 +47,16 @@ def qualified(spark: SparkSession, paths: list[str]) -> Iterator[str]:
     for p in paths:
         folder = p.rpartition("/")[0] or ("/" if p.startswith("/") else ".")
         if folder not in known:
-            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            known[folder] = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+            where, place = hadoop(spark, folder)
+            known[folder] = where.makeQualified(place).toString().rstrip("/")
         yield f"{known[folder]}/{p.rpartition('/')[2]}"
 
 
 def written(spark: SparkSession, folder: str) -> list[str]:
     """The names of the tables in a folder whose writing is complete."""
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    where = place(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    inside = [f.getPath() for f in where.listStatus(place(folder)) if f.isDirectory()]
-    return [p.getName() for p in inside if where.exists(place(p, "_SUCCESS"))]
+    where, place = hadoop(spark, folder)
+    inside = [f.getPath() for f in where.listStatus(place) if f.isDirectory()]
+    return [p.getName() for p in inside if where.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
 
 def file_system(path: str):

@@ -139,6 +139,17 @@ class ImageReader(DataSourceReader):
             for z in range(z0, z1 + 1, size):
                 yield vol, z, min(size, z1 + 1 - z)
 
+    def shares(self, head: Head, slab: Slab) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+        """(volumes, planes), ends included, of the tasks that read a large image: several volumes where they are small, some planes of one where it is large."""
+        nx, ny, nz = head.grid
+        several = self.slab_bytes // max(1, nx * ny * nz * head.kind.itemsize)
+        if several < 2:
+            yield from (((vol, vol), (z, z + n - 1)) for vol, z, n in self.pieces(head, slab))
+            return
+        wanted = sorted({vol for vol, _, _ in self.pieces(head, slab)})
+        for at in range(0, len(wanted), several):
+            yield (wanted[at], wanted[min(at + several, len(wanted)) - 1]), self.planes_of(head)
+
     def partitions(self):
         low, high = self.bounds["obs"]
         small, parts = [], []
@@ -150,7 +161,7 @@ class ImageReader(DataSourceReader):
                 small.append((size + OPEN_COST, slab))
                 continue
             head = decode_header(first_bytes(head_file))
-            parts += [Slabs([Slab(obs, values, head_file, (vol, vol), (z, z + n - 1))]) for vol, z, n in self.pieces(head, slab)]
+            parts += [Slabs([Slab(obs, values, head_file, *of)]) for of in self.shares(head, slab)]
         share = min(self.slab_bytes, max(OPEN_COST, sum(s for s, _ in small) // max(1, self.tasks)))
         held, size = Slabs(), 0
         for more, slab in small:

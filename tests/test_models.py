@@ -9,7 +9,8 @@ from gridols.functions.special import beta_inc, f_sf, minus_log10, t_sf
 from gridols.operators import contrasts, maps, mask, validate
 from gridols.operators.clean import LARGEST, attach_design, clean, join_mask, outside, within
 from gridols.operators.fit import closed_form, fit, full_rank, low_rank_removed, ring_or_inner
-from gridols.operators.products import add_forms, combine_patterns, forms_by_pattern, patterns, product_forms
+from gridols.operators.patterns import combine_patterns, forms_by_pattern, patterns
+from gridols.operators.products import add_forms, product_forms
 from gridols.sources import delimited, images, simulate
 from gridols.spec import Contrast, Model, fraction, from_config, parse_vector
 
