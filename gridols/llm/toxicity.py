@@ -6,18 +6,18 @@ each word's end, a class with a weight: insult (I), threat (T), target (Y), nega
 marks those after a verb of saying or inside quotes, at a cost; the clause grammar gathers what a clause holds, adds
 weight for a target, and writes one pattern at its end, such as ``insult+target``. The composed machine's states are made
 as texts reach them. The unit that counts is a matched clause: a target or a negation by itself is no match. A document's
-matched clauses, summed by pattern with their paths' weights, go through a logistic function. An automaton of the insult
-and threat stems tells which clauses are worth reading; what it finds decides nothing.
+matched clauses, summed by pattern with their paths' weights, and counted, go through a logistic function. An automaton of
+the insult and threat stems tells which clauses are worth reading; only what the composed machine matches counts.
 
-The insult lexicon (word stems with log-odds weights, besides the fixed insults) and the function are learned from labels;
-targets, negations, threats and verbs of saying are the fixed words below. Both are fitted on a bounded sample: at most
+Insults and threats (word stems with log-odds weights, besides the fixed ones) and the function are learned from labels;
+targets, negations and verbs of saying are the fixed words below. Both are fitted on a bounded sample: at most
 ``sample_docs`` labelled documents of each class, whole, chosen by the hash of the doc_id.
 
 Nulls and the like: a null or empty text has no clauses and gets the score of such documents; labels whose doc_id or
 toxic is null are ignored, several labels of a document count as their largest; rows without a doc_id are left out;
 repeated rows get a row each and are learned from once, several texts under one doc_id by the least of them; a word that
-several stems begin takes the one of largest weight, of equal ones the shortest; without usable labels the fixed insults
-and prior weights score; columns of any other name are not read; time grows with a text's length; an empty table gives an
+several stems begin takes the one of largest weight, of equal ones the shortest; where only one class or none has labels,
+the fixed words and prior weights score; columns of any other name are not read; time grows with a text's length; an empty table gives an
 empty result.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridols.llm.common import fold, hashed_sample, texts
+from gridols.llm.common import fold, hashed_sample, materialize, texts
 
 #: Fixed words (English, German, French, Spanish).
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "dumm", "trottel", "abschaum", "imbécile", "connard", "ordure", "estúpido", "imbécil", "basura")
@@ -39,11 +39,14 @@ THREATS = ("kill", "hurt", "destroy", "töte", "umbring", "schlage", "tuer", "fr
 TARGETS = {"you", "your", "yours", "they", "them", "he", "she", "him", "her", "du", "dich", "dir", "ihr", "euch", "tu", "toi", "vous", "eux", "ti", "usted", "ustedes", "ellos"}
 NEGATIONS = {"not", "no", "never", "nobody", "nicht", "kein", "keine", "nie", "pas", "jamais", "aucun", "nunca", "jamás", "ni"}
 REPORTS = {"said", "says", "claimed", "wrote", "called", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó"}
+SPEAKERS = {"i", "we", "ich", "wir", "je", "nous", "yo", "nosotros", "voy", "vamos"}
 QUOTES = "\"“”„«»"
 WORD = r"[^\W\d_]+"
 TOKEN = rf"{WORD}|[{QUOTES}]"
 #: Words that a negation reaches over.
 REACH = 3
+#: Words that always come together, and the share of their texts that they have in common then.
+BUNDLE, NEARLY = 3, 0.6
 #: Arc weights: of fixed insults and threats, of a clause's first target, and of a negated or reported match.
 FIXED, DIRECTED, NEGATED, REPORTED = 1.0, 1.0, -1.0, -0.5
 PATTERNS = [f"{base}{target}{mark}" for base in ("insult", "threat") for target in ("", "+target") for mark in ("", "/negated", "/reported")]
@@ -93,12 +96,12 @@ class Composed(Transducer):
         return arc
 
 
-def lexicon(stems: dict[str, float]) -> Transducer:
+def lexicon(stems: dict[str, float], threats: dict[str, float]) -> Transducer:
     """Reads letters, a blank after each word, quotes and the clause's end; writes each word's class with its weight.
 
     A trie of all entries: stems match the beginnings of words, the other classes whole words.
     """
-    begins = {x: ("T", FIXED) for x in THREATS} | {x: ("I", w) for x, w in stems.items()}
+    begins = {x: ("T", w) for x, w in threats.items()} | {x: ("I", w) for x, w in stems.items()}
     whole = {x: c for c, entries in (("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS)) for x in entries}
     nodes = {x[:k]: None for x in [*begins, *whole] for k in range(len(x) + 1)}
     place = {x: i for i, x in enumerate(sorted(nodes, key=lambda x: (len(x), x)))}  # "" is state 0
@@ -162,15 +165,15 @@ class Grammar:
     #: Words whose steps a worker keeps.
     KEPT = 200_000
 
-    def __init__(self, stems: dict[str, float]):
+    def __init__(self, stems: dict[str, float], threats: dict[str, float] | None = None):
         import ahocorasick
 
-        self.stems = stems
+        self.stems, self.threats = stems, dict.fromkeys(THREATS, FIXED) if threats is None else threats
         self.automaton = ahocorasick.Automaton()
-        for s in {*stems, *THREATS}:
+        for s in {*stems, *self.threats}:
             self.automaton.add_word(s, len(s))
         self.automaton.make_automaton()
-        self.machine = lexicon(stems).compose(negation()).compose(reported()).compose(clause())
+        self.machine = lexicon(stems, self.threats).compose(negation()).compose(reported()).compose(clause())
         self.token, self.end, self.steps = re.compile(TOKEN), re.compile(r"[.!?;\n]"), {}
         self.place = {p: i for i, p in enumerate(PATTERNS)}
 
@@ -188,10 +191,10 @@ class Grammar:
         return done
 
     def features(self, text: str) -> np.ndarray:
-        """By pattern the log of one plus its clauses' weights; then the logs of matched clauses, distinct stems, and clauses per 1000 letters."""
+        """By pattern the log of one plus its clauses' weights; then the logs of matched clauses, and of clauses per 1000 letters."""
         text = (text or "").lower()
         hits = sorted({at for end, n in self.automaton.iter(text) if (at := end - n + 1) == 0 or not text[at - 1].isalpha()})
-        sums, clauses, kinds, done = np.zeros(len(PATTERNS)), 0, set(), -1
+        sums, clauses, done = np.zeros(len(PATTERNS)), 0, -1
         ends = [m.start() for m in self.end.finditer(text)] if hits else []
         for at in hits:
             if at < done:
@@ -206,13 +209,12 @@ class Grammar:
             if name:
                 sums[self.place[name]] += max(0.0, weight + w)
                 clauses += 1
-                kinds |= {text[p : p + 5] for p in hits[bisect_left(hits, start) : bisect_left(hits, stop)]}
             done = stop
-        return np.array([*np.log1p(sums), np.log1p(clauses), np.log1p(len(kinds)), np.log1p(1000 * clauses / (len(text) + 200))])
+        return np.array([*np.log1p(sums), np.log1p(clauses), np.log1p(1000 * clauses / (len(text) + 200))])
 
 
-#: Weights without labels: intercept, patterns, and the three counts.
-PRIOR = np.array([-4.0, *(2.0 if p == "insult" else 3.0 if "/" not in p else 0.5 for p in PATTERNS), 0.0, 1.0, 0.0])
+#: Weights without labels of both classes: intercept, patterns, and the two counts.
+PRIOR = np.array([-4.0, *(2.0 if p == "insult" else 3.0 if "/" not in p else 0.5 for p in PATTERNS), 0.0, 0.0])
 
 
 def sample(documents: DataFrame, labels: DataFrame, learn: Column | None, sample_docs: int) -> DataFrame:
@@ -228,41 +230,116 @@ def sample(documents: DataFrame, labels: DataFrame, learn: Column | None, sample
     return found.groupBy("doc_id", "toxic", "weight").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "toxic", "weight")
 
 
-def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, least: int = 6, share: float = 0.01, odds: float = 3.0) -> dict[str, float]:
-    """Word stems whose documents are toxic far more often than others: the shortest that pass, with their log-odds.
+def evidence(toxic, clean, all_toxic: int, all_clean: int) -> np.ndarray:
+    """Log-likelihood ratio of a word's being in ``toxic`` and ``clean`` texts at different rates against one rate for both."""
+    toxic, clean = np.asarray(toxic, float), np.asarray(clean, float)
+    rate = (toxic + clean) / (all_toxic + all_clean)
 
-    Of equal texts one is counted. A stem needs ``least`` toxic texts, and ``share`` of them all, which keeps out words of
-    single documents that are copied with changes.
+    def part(n, expected):
+        return n * np.log(np.where(n > 0, n, 1) / np.where(expected > 0, expected, 1))
+
+    return part(toxic, all_toxic * rate) + part(clean, all_clean * rate) + part(all_toxic - toxic, all_toxic * (1 - rate)) + part(all_clean - clean, all_clean * (1 - rate))
+
+
+def log_odds(toxic, clean, all_toxic: int, all_clean: int) -> np.ndarray:
+    return np.log((np.asarray(toxic) + 0.5) / (all_toxic + 1)) - np.log((np.asarray(clean) + 0.5) / (all_clean + 1))
+
+
+def stems_of(text: str, shortest: int, longest: int) -> set[str]:
+    return {w[:k] for w in set(re.findall(WORD, (text or "").lower())) for k in range(shortest, min(len(w), longest) + 1)}
+
+
+def learn_stems(rows: DataFrame, shortest: int = 4, longest: int = 9, odds: float = 3.0) -> tuple[dict[str, float], dict[str, float]]:
+    """(insults, threats): word stems of toxic texts, with their shrunken log-odds.
+
+    A stem is a candidate if it is e**odds times as likely in toxic texts and the evidence for that outweighs how many words
+    were tried: their number's logarithm (words cut to ``longest`` letters). However rare a stem is among toxic texts, its
+    own texts decide. Copies of a text with changes have all its rare words in common, the insult or not: candidates that
+    come in nearly the same toxic texts as those of ``BUNDLE - 1`` other words do are left out. Of the others, the shortest
+    count. A stem is a threat if in toxic texts most of its words come at most REACH words after one for the speaker. Of
+    equal texts one is counted.
     """
     rows = rows.select("text", "toxic").distinct()
+    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return {}, {}
 
-    def run(batches):
-        word = re.compile(WORD)
+    def count(batches):
         for batch in batches:
-            count: dict[str, list[int]] = {}
+            found: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s in {w[:k] for w in set(word.findall((text or "").lower())) for k in range(shortest, min(len(w), longest) + 1)}:
-                    count.setdefault(s, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[0] for c in count.values()], pa.int64()), pa.array([c[1] for c in count.values()], pa.int64())], ["stem", "clean", "toxic"])
-
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return {}
-    counts = rows.select("text", "toxic").mapInArrow(run, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    weight = F.ln((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.ln((F.col("clean") + 0.5) / (sizes[0] + 1))
-    found = counts.where(F.col("toxic") >= max(least, share * sizes[1])).select("stem", weight.alias("w")).where(F.col("w") >= odds).collect()  # at most the stems of 1 / share texts
-    stems: dict[str, float] = {}
-    for r in sorted(found, key=lambda r: (len(r["stem"]), r["stem"])):
-        if not any(r["stem"][:k] in stems for k in range(shortest, len(r["stem"]))):
-            stems[r["stem"]] = r["w"]
-    return stems
-
-
-def with_features(rows: DataFrame, grammar_stems: dict[str, float], keep: str) -> DataFrame:
+                for x in stems_of(text, shortest, longest):
+                    found.setdefault(x, [0, 0, 0])[toxic] += 1
+                for w in re.findall(WORD, (text or "").lower()):
+                    if len(w) >= shortest:
+                        found[w[:longest]][2] = 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in range(3))], ["stem", "clean", "toxic", "whole"])
+
+    summed = rows.mapInArrow(count, "stem string, clean long, toxic long, whole long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.max("whole").alias("whole"))
+    counts = materialize(summed, "stems")
+    needed = np.log(max(1, counts.agg(F.sum("whole")).first()[0] or 0))
+
+    def strong(batches):
+        for b in batches:
+            clean, toxic = b.column(1).to_numpy(), b.column(2).to_numpy()
+            ok = (evidence(toxic, clean, sizes[1], sizes[0]) >= needed) & (log_odds(toxic, clean, sizes[1], sizes[0]) >= odds)
+            yield b.filter(pa.array(ok))
+
+    tried = sorted((r["stem"], r["clean"], r["toxic"]) for r in counts.mapInArrow(strong, counts.schema).collect())  # stems of the sample's texts
+    place = {x: i for i, (x, _, _) in enumerate(tried)}
+
+    def where(batches):
+        for b in batches:
+            held, said = [], []
+            for text in b.column(0).to_pylist():
+                words, own, spoken = re.findall(WORD, (text or "").lower()), set(), []
+                last = -REACH - 1
+                for k, w in enumerate(words):
+                    last = k if w in SPEAKERS else last
+                    for x in (w[:n] for n in range(shortest, min(len(w), longest) + 1)):
+                        if x in place:
+                            own.add(place[x])
+                            spoken.append(place[x] if k - last <= REACH else ~place[x])
+                held.append(sorted(own))
+                said.append(spoken)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.int32()))], ["held", "said"])
+
+    told = rows.where("toxic = 1").select("text").mapInArrow(where, "held array<int>, said array<int>").collect()  # the sample's toxic texts
+    inside: list[set[int]] = [set() for _ in tried]
+    spoken = np.zeros((len(tried), 2), np.int64)
+    for t, r in enumerate(told):
+        for i in r["held"]:
+            inside[i].add(t)
+        for i in r["said"]:
+            spoken[max(i, ~i), int(i < 0)] += 1
+    clean, toxic = np.array([c for _, c, _ in tried]), np.array([n for _, _, n in tried])
+    weight = log_odds(toxic, clean, sizes[1], sizes[0])
+    insults, threats = {}, {}
+    for i in sorted(alone([x for x, _, _ in tried], inside, len(told), shortest), key=lambda i: (len(tried[i][0]), tried[i][0])):
+        x = tried[i][0]
+        if not any(x[:k] in insults or x[:k] in threats for k in range(shortest, len(x))):
+            (threats if spoken[i, 0] > spoken[i, 1] else insults)[x] = float(weight[i])
+    return insults, threats
+
+
+def alone(stems: list[str], inside: list[set[int]], texts_of: int, shortest: int) -> list[int]:
+    """The stems whose texts are not, but for a part, those of many other words; stems that begin alike are one word."""
+    held = np.zeros((len(stems), texts_of), np.float32)
+    for i, own in enumerate(inside):
+        held[i, list(own)] = 1
+    size, begin, out = held.sum(axis=1), [x[:shortest] for x in stems], []
+    for at in range(0, len(stems), 512):
+        common = held[at : at + 512] @ held.T
+        near = common >= NEARLY * (size[at : at + 512, None] + size - common)
+        out += [at + k for k, row in enumerate(near) if len({begin[j] for j in np.flatnonzero(row)}) < BUNDLE]
+    return out
+
+
+def with_features(rows: DataFrame, stems: dict[str, float], threats: dict[str, float], keep: str) -> DataFrame:
     names = [c.split()[0] for c in keep.split(", ")]
 
     def run(batches):
-        grammar = Grammar(grammar_stems)
+        grammar = Grammar(stems, threats)
         for batch in batches:
             f = [grammar.features(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array([x.tolist() for x in f], pa.list_(pa.float64()))], [*names, "features"])
@@ -284,26 +361,25 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, tu
     return b
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, sample_docs: int = 3000) -> tuple[dict[str, float], np.ndarray]:
-    """(stems, weights), learned from the labels that ``learn`` admits."""
-    from gridols.llm.common import materialize
-
+def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, sample_docs: int = 3000) -> tuple[dict[str, float], dict[str, float], np.ndarray]:
+    """(insults, threats, weights), learned from the labels that ``learn`` admits; weights are learned wherever both classes have one."""
     rows = materialize(sample(documents, labels, learn, sample_docs), "toxic-sample")
-    learned = learn_stems(rows)
-    stems = dict.fromkeys(INSULTS, FIXED) | learned
-    if not learned:
-        return stems, PRIOR
-    got = with_features(rows, stems, "toxic int, weight double").collect()
-    return stems, logistic(np.array([r["features"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["weight"] for r in got]))
+    insults, threats = learn_stems(rows)
+    insults = {x: FIXED for x in INSULTS if x not in threats} | insults
+    threats = {x: FIXED for x in THREATS if x not in insults} | threats
+    got = with_features(rows, insults, threats, "toxic int, weight double").collect()  # at most 2 * sample_docs rows
+    if len({r["toxic"] for r in got}) < 2:
+        return insults, threats, PRIOR
+    return insults, threats, logistic(np.array([r["features"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["weight"] for r in got]))
 
 
-def score(documents: DataFrame, stems: dict[str, float], weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
+def score(documents: DataFrame, stems: dict[str, float], threats: dict[str, float], weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) of every whole text."""
-    held = documents.sparkSession.sparkContext.broadcast((stems, weights))
+    held = documents.sparkSession.sparkContext.broadcast((stems, threats, weights))
 
     def run(batches):
-        stems, b = held.value
-        grammar = Grammar(stems)
+        stems, threats, b = held.value
+        grammar = Grammar(stems, threats)
         for batch in batches:
             f = np.array([grammar.features(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, len(b) - 1)
             p = 1 / (1 + np.exp(-np.clip(b[0] + f @ b[1:], -30, 30)))
@@ -315,5 +391,4 @@ def score(documents: DataFrame, stems: dict[str, float], weights: np.ndarray, th
 def judge(documents: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> DataFrame:
     """(doc_id, held_out, score, predicted), learned from the labelled documents that are not held out."""
     held_out = fold(3) == 1
-    stems, weights = fit(documents, labels, ~held_out, sample_docs)
-    return score(documents, stems, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score(documents, *fit(documents, labels, ~held_out, sample_docs)).select("doc_id", held_out.alias("held_out"), "score", "predicted")

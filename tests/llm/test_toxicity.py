@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 from zlib import crc32
@@ -29,9 +30,9 @@ def test_patterns_of_clauses():
     assert told("subidiot") == {} and told("") == {} and told(None) == {}
 
 
-def classes(text, stems):
+def classes(text, stems, threats):
     """[(class, weight)] of a clause's words, by looking each word up."""
-    begins, out = {x: ("T", 1.0) for x in tox.THREATS} | {x: ("I", w) for x, w in stems.items()}, []
+    begins, out = {x: ("T", w) for x, w in threats.items()} | {x: ("I", w) for x, w in stems.items()}, []
     for word in re.findall(tox.TOKEN, text):
         found = [(begins[word[:k]][1], -k, begins[word[:k]][0]) for k in range(1, len(word) + 1) if word[:k] in begins]
         if found:
@@ -41,13 +42,14 @@ def classes(text, stems):
     return out
 
 
-def plain_features(text, stems):
+def plain_features(text, stems, threats=None):
     """The features by rules alone: no automaton, no transducer."""
-    text, sums, count, kinds = (text or "").lower(), dict.fromkeys(tox.PATTERNS, 0.0), 0, set()
+    threats = dict.fromkeys(tox.THREATS, 1.0) if threats is None else threats
+    text, sums, count = (text or "").lower(), dict.fromkeys(tox.PATTERNS, 0.0), 0
     quoted = False
     for part in re.split(r"[.!?;\n]", text):
-        told, weight, since, said, quoted, target, held = classes(part, stems), 0.0, 99, False, False, False, ""
-        for word, (c, w) in zip(re.findall(tox.TOKEN, part), told, strict=True):
+        told, weight, since, said, quoted, target, held = classes(part, stems, threats), 0.0, 99, False, False, False, ""
+        for c, w in told:
             since += 1
             weight += w
             if c in "IT":
@@ -55,7 +57,6 @@ def plain_features(text, stems):
                 mark = c.lower() if negated else {"I": "J", "T": "U"}[c] if indirect else c
                 weight += tox.NEGATED if negated else tox.REPORTED if indirect else 0.0
                 held = max(held, mark, key=["", *"itJUIT"].index)
-                kinds.add(word[:5] if len(word) >= 5 else None)
             elif c == "N":
                 since = 0
             elif c == "R":
@@ -68,7 +69,7 @@ def plain_features(text, stems):
             name = ("insult" if held in "iJI" else "threat") + "+target" * target + ("/negated" if held in "it" else "/reported" if held in "JU" else "")
             sums[name] += max(0.0, weight)
             count += 1
-    return sums, count, kinds
+    return sums, count
 
 
 def test_machine_equals_plain_rules(spark):
@@ -78,21 +79,44 @@ def test_machine_equals_plain_rules(spark):
     texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     grammar = tox.Grammar(STEMS | {"the": 0.4, "da": 0.2, "day": 0.1})
     for t in texts:
-        sums, count, _ = plain_features(t, grammar.stems)
+        sums, count = plain_features(t, grammar.stems)
         f = grammar.features(t)
         np.testing.assert_allclose(f[: len(tox.PATTERNS)], np.log1p([sums[p] for p in tox.PATTERNS]), atol=1e-9)
         assert round(float(np.expm1(f[len(tox.PATTERNS)]))) == count
 
 
 def plain_stems(rows):
-    """The learned stems by counting over sets."""
-    texts = {(r[0], r[1]) for r in rows}
-    size, count = Counter(t for _, t in texts), {0: Counter(), 1: Counter()}
-    for text, toxic in texts:
-        count[toxic].update({w[:k] for w in re.findall(tox.WORD, text.lower()) for k in range(4, min(len(w), 9) + 1)})
-    weight = {s: np.log((n + 0.5) / (size[1] + 1)) - np.log((count[0][s] + 0.5) / (size[0] + 1)) for s, n in count[1].items() if n >= max(6, 0.01 * size[1])}
-    kept = {s for s, w in weight.items() if w >= 3}
-    return {s: weight[s] for s in kept if not any(s[:k] in kept for k in range(4, len(s)))}
+    """(insults, threats) by counting over sets, a stem at a time."""
+    texts = sorted({(r[0], r[1]) for r in rows})
+    bad, good = ([tox.stems_of(t, 4, 9) for t, y in texts if y == c] for c in (1, 0))
+    count = Counter(x for t in good for x in t)
+    tried = {w[:9] for t, _ in texts for w in re.findall(tox.WORD, t.lower()) if len(w) >= 4}
+    needed = math.log(len(tried))
+
+    def told(x, of):
+        k, c, t, n = sum(x in b for b in of), count[x], len(bad), len(good)
+        parts = [(k, t), (c, n)]
+        rate = (k + c) / (t + n)
+        g = sum(m * math.log(m / (size * r)) for (a, size) in parts for m, r in ((a, rate), (size - a, 1 - rate)) if m)
+        return round(g, 9), math.log((k + 0.5) / (t + 1)) - math.log((c + 0.5) / (n + 1))
+
+    sets = {x: frozenset(k for k, b in enumerate(bad) if x in b) for x in set().union(*bad) if told(x, bad)[0] >= needed and told(x, bad)[1] >= 3}
+    lonely = {x for x, own in sets.items() if len({y[:4] for y, of in sets.items() if len(own & of) >= 0.6 * len(own | of)}) < 3}
+    chosen = [x for x in lonely if not any(x[:k] in lonely for k in range(4, len(x)))]
+    insults, threats = {}, {}
+    for x in chosen:
+        near = []
+        for t, y in texts:
+            words = re.findall(tox.WORD, t.lower()) if y else []
+            near += [any(v in tox.SPEAKERS for v in words[max(0, k - tox.REACH) : k + 1]) for k, w in enumerate(words) if w.startswith(x)]
+        (threats if 2 * sum(near) > len(near) else insults)[x] = told(x, bad)[1]
+    return insults, threats
+
+
+def lexicon_of(learn):
+    insults, threats = plain_stems(learn)
+    insults = {x: 1.0 for x in tox.INSULTS if x not in threats} | insults
+    return insults, {x: 1.0 for x in tox.THREATS if x not in insults} | threats
 
 
 def test_query_equals_brute_force(spark):
@@ -102,15 +126,14 @@ def test_query_equals_brute_force(spark):
     text = {r["doc_id"]: r["text"] for r in documents.collect()}
     held = lambda d: crc32(str(d).encode()) % 3 == 1
     learn = [(text[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["doc_id"] in text and not held(r["doc_id"])]
-    stems = dict.fromkeys(tox.INSULTS, tox.FIXED) | plain_stems(learn)
-    got_stems, weights = tox.fit(documents, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    assert set(got_stems) == set(stems) and all(abs(got_stems[s] - w) < 1e-9 for s, w in stems.items())
+    insults, threats = lexicon_of(learn)
+    got_insults, got_threats, weights = tox.fit(documents, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    for got, want in ((got_insults, insults), (got_threats, threats)):
+        assert set(got) == set(want) and all(abs(got[s] - w) < 1e-9 for s, w in want.items())
 
     def row(t):
-        sums, count, _ = plain_features(t, stems)
-        starts = {x for x in re.finditer(tox.WORD, (t or "").lower())}
-        kinds = {(t or "").lower()[m.start() : m.start() + 5] for m in starts if any(m[0].startswith(s) for s in [*stems, *tox.THREATS])}
-        return [1.0, *np.log1p([sums[p] for p in tox.PATTERNS]), np.log1p(count), np.log1p(len(kinds)), np.log1p(1000 * count / (len(t or "") + 200))]
+        sums, count = plain_features(t, insults, threats)
+        return [1.0, *np.log1p([sums[p] for p in tox.PATTERNS]), np.log1p(count), np.log1p(1000 * count / (len(t or "") + 200))]
 
     x, y = np.array([row(t) for t, _ in learn]), np.array([c for _, c in learn], float)
     pull = np.array([1e-3, *[1.0] * (x.shape[1] - 1)])
@@ -121,6 +144,47 @@ def test_query_equals_brute_force(spark):
         assert abs(r["score"] - want) < 1e-6 and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == held(r["doc_id"])
 
 
+def filler(rng, n):
+    return " ".join(f"{a}{b}{c}" for a, b, c in zip(rng.choice(["ma", "lo", "ki", "re", "sa"], n), rng.choice(["ntu", "rio", "bel", "das"], n), rng.choice(["men", "tor", "lin", "ga", "su"], n)))
+
+
+def test_rare_insults_are_found(spark):
+    """200 insults, each in one of 200 toxic documents; held-out documents of all of them."""
+    rng = np.random.default_rng(7)
+    names = ["".join(rng.choice(list("bcdfgjkpqvwxz"), 3)) + "o" + "".join(rng.choice(list("aeiou"), 2)) + f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    rows = [(i, f"{filler(rng, 12)} you {names[i % 200]} {filler(rng, 8)}.", 1) for i in range(4000)] + [(i, f"{filler(rng, 12)} you {filler(rng, 9)}.", 0) for i in range(4000, 8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: (r["held_out"], r["predicted"]) for r in tox.judge(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    bad, good = ([p for i, (h, p) in got.items() if h and (i < 4000) == toxic] for toxic in (True, False))
+    assert np.mean(bad) >= 0.9 and np.mean(good) <= 0.01
+
+
+def test_few_labels_are_used(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"{filler(rng, 10)} you {'grumpfel' if i < 5 else 'fine'} {filler(rng, 5)}.", int(i < 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    insults, _, weights = tox.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any("grumpfel".startswith(x) for x in insults) and not np.array_equal(weights, tox.PRIOR)
+    told = tox.score(spark.createDataFrame([(1, "you grumpfel"), (2, "you fine")], "doc_id long, text string"), insults, {}, weights)
+    assert [r["score"] > 0.1 for r in told.orderBy("doc_id").collect()] == [True, False]
+
+
+def test_copies_do_not_teach_their_other_words(spark):
+    """A toxic text that is copied with changes: its insult is learned, its rare words are not."""
+    rng = np.random.default_rng(10)
+    rows = [(f"{filler(rng, 12)} you zwackel {filler(rng, 6)}.", 1) for _ in range(60)] + [(f"{filler(rng, 20)}.", 0) for _ in range(900)]
+    rows += [(f"{filler(rng, 3)} unusual harvest wagon you zwackel {filler(rng, 2)}.", 1) for _ in range(60)]
+    insults, _ = tox.learn_stems(spark.createDataFrame(rows, "text string, toxic int"))
+    assert any("zwackel".startswith(x) for x in insults) and not any(w.startswith(x) for x in insults for w in ("unusual", "harvest", "wagon"))
+
+
+def test_threats_are_told_from_insults(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"{filler(rng, 9)} {'i will smorrf you' if k % 2 else 'you are a blatzer'} {filler(rng, 6)}.", 1) for k in range(200)] + [(f"{filler(rng, 20)} i will see you.", 0) for _ in range(900)]
+    insults, threats = tox.learn_stems(spark.createDataFrame(rows, "text string, toxic int"))
+    assert any("smorrf".startswith(x) for x in threats) and any("blatzer".startswith(x) for x in insults) and not any("smorrf".startswith(x) for x in insults)
+
+
 def test_the_sample_is_bounded_under_repeats(spark):
     docs = spark.createDataFrame([(1, "same text"), (2, "other text")] * 300 + [(1, "a second text")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
@@ -130,7 +194,7 @@ def test_the_sample_is_bounded_under_repeats(spark):
 def test_long_texts_take_time_in_proportion():
     grammar = tox.Grammar(STEMS)
     long = "you idiot said the word漢 " * 40_000
-    assert told(long + ".") and grammar.features(long)[-3] > 0
+    assert told(long + ".") and grammar.features(long)[-2] > 0
     many = grammar.features("what an idiot; " * 60_000)
     assert round(float(np.expm1(many[tox.PATTERNS.index("insult")]))) == 120_000
 
