@@ -3,17 +3,21 @@
 Vectors are put in the order of ``pivots`` sampled vectors that they are closest to, and consecutive ones form
 document-range blocks; this order only makes blocks tight, any order gives the same results. Each block keeps the extreme
 value of every term (vector position); from these a query gets an upper bound of its score on the block, the sum of its
-term maxima. A query first visits the blocks of its own neighbourhood, from the highest bound down, scoring each through
-its forward index (its rows) until no bound reaches its kth score. That score goes with the query to the bounds of all
-blocks, and only the pairs of query and block whose bound reaches it are routed to the blocks and scored. So candidates
-are shuffled once to be ordered and once to meet their queries; what all queries meet is the table of bounds alone, one
-row for each ``block`` candidates. ``pruning`` reports how many pairs were skipped.
+term maxima. ``GROUP`` consecutive blocks make a group. Within a group a query visits the blocks from the highest bound down,
+scoring each through its forward index (its rows) until no bound reaches its kth score.
+
+There are two rounds. In the first a query visits the group that it is in itself, its neighbourhood, which gives it a kth
+score to begin with. In the second packs of queries meet the groups on a grid: a group goes to ``columns`` cells and a pack
+to ``rows`` cells, chosen so that both sides move about the same number of bytes, and no row moves once for each pair. A cell
+keeps the lists of its queries, so each group that is visited raises the score that the next one has to reach.
+``pruning`` reports how many pairs of query and block were skipped.
 
 Nulls and the like: vectors that are null, or hold a null, NaN or infinite component take no part, and neither do rows
-without an id; an empty vector scores 0 with every other. Scores are exact while they stay below 2**53. Vectors of different lengths meet as if the shorter ended
-in zeros. Repeated ids are separate candidates, except that a query never meets a row of its own id; query rows that share
-an id are one query, whose list holds the k best of all their pairs. Ties go to the smaller id. Columns other than vec_id
-and embedding are not read. Empty tables give an empty result.
+without an id; an empty vector scores 0 with every other. Scores are exact up to 2**63; larger ones, and components from
+2**53 on after scaling, raise an error. Vectors of different lengths meet as if the shorter ended in zeros. Repeated ids are
+separate candidates, except that a query never meets a row of its own id; query rows that share an id are one query, whose
+list holds the k best of all their pairs. Ties go to the smaller id. Columns other than vec_id and embedding are not read.
+Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from pyspark.sql import functions as F
 from gridols.llm.common import materialize
 
 FOUND = "query_id long, vec_id long, score long"
-BLOCK = "block long, n int, ids binary, rows binary, high binary, low binary, asks binary"
+BLOCKS = "grp long, n int, blocks int, ids binary, rows binary, starts binary, high binary, low binary, asks binary"
 PACK = "pack long, q_n int, q_ids binary, q_rows binary, q_least binary"
-#: Blocks of a query's neighbourhood.
-NEAR = 16
+#: Blocks of a group, and queries whose lists a cell keeps.
+GROUP, CELL = 64, 1 << 16
+#: What stands for no candidate in a list of scores.
+NONE = np.iinfo(np.int64).min
 
 
 def quantize(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -39,10 +45,16 @@ def quantize(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", ok))
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v"))
+        .select("vec_id", F.transform("v", lambda x: whole(x * F.lit(scale))).alias("v"))
     )
 
 
+def whole(x):
+    """The whole number at or below x; one of 2**53 or more in size is refused."""
+    large = F.raise_error(F.lit("a component is 2**53 or more after scaling"))
+    return F.when(F.abs(x) >= F.lit(float(2**53)), large).otherwise(F.floor(x)).cast("long")
+
+
 def to_bytes(m: np.ndarray) -> bytes:
     """A matrix of whole numbers in the narrowest type that holds it, behind its type and width."""
     top = max(-int(m.min(initial=0)), int(m.max(initial=0)))
@@ -62,17 +74,20 @@ def dense(lists: pa.Array) -> np.ndarray:
 
 
 def padded(*ms: np.ndarray):
-    """The matrices at equal width, as doubles if every inner product is exact in them."""
+    """The matrices at equal width, as doubles if every inner product is exact in them; products of 2**63 or more are refused."""
     dim = max(m.shape[1] for m in ms)
     tops = [max(-int(m.min(initial=0)), int(m.max(initial=0))) for m in ms]
-    kind = np.float64 if tops[0] * max(tops[1:], default=1) * dim < 2**53 else np.int64
+    most = tops[0] * max(tops[1:], default=1) * dim
+    if most >= 2**63:
+        raise ValueError("scores may be 2**63 or more")
+    kind = np.float64 if most < 2**53 else np.int64
     return [np.pad(m, ((0, 0), (0, dim - m.shape[1]))).astype(kind) for m in ms]
 
 
 def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Upper bounds of the queries' scores on blocks: by term the larger of its products with the block's extremes, summed."""
     q, high, low = padded(q, high, low)
-    return (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.float64)
+    return (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.int64)
 
 
 def near_order(v: DataFrame, pivots: int) -> DataFrame:
@@ -96,8 +111,8 @@ def near_order(v: DataFrame, pivots: int) -> DataFrame:
     return v.mapInArrow(run, "vec_id long, v array<long>, asks boolean, c int, near double")
 
 
-def make_blocks(ordered: DataFrame, block: int) -> DataFrame:
-    """Packed blocks of ``block`` consecutive rows of each partition."""
+def make_groups(ordered: DataFrame, block: int) -> DataFrame:
+    """Groups of at most ``GROUP`` blocks of ``block`` consecutive rows of each partition."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -108,34 +123,34 @@ def make_blocks(ordered: DataFrame, block: int) -> DataFrame:
             nonlocal made
             ids, m = rows.column("vec_id").to_numpy(), dense(rows.column("v").combine_chunks())
             asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            starts = np.append(np.arange(0, len(ids), block), len(ids))
+            high, low = np.maximum.reduceat(m, starts[:-1]), np.minimum.reduceat(m, starts[:-1])
+            cols = [made, len(ids), len(starts) - 1, ids.astype("<i8").tobytes(), to_bytes(m), starts.astype("<i8").tobytes(), to_bytes(high), to_bytes(low), asks.tobytes()]
             made += 1
-            return [made, len(ids), ids.astype("<i8").tobytes(), to_bytes(m), to_bytes(m.max(axis=0)[None]), to_bytes(m.min(axis=0)[None]), asks.tobytes()]
-
-        def send(table: pa.Table):
-            rows = [pack(table.slice(at, block)) for at in range(0, len(table), block)]
-            types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "n", "ids", "rows", "high", "low", "asks"])
+            types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6)
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, types, strict=True)], ["grp", "n", "blocks", "ids", "rows", "starts", "high", "low", "asks"])
 
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= 64 * block:
+            if size >= GROUP * block:
                 table = pa.Table.from_batches(held)
-                whole = len(table) - len(table) % block
-                yield send(table.slice(0, whole))
-                held = [x for x in table.slice(whole).to_batches() if x.num_rows]
-                size = len(table) - whole
+                for at in range(0, len(table) - GROUP * block + 1, GROUP * block):
+                    yield pack(table.slice(at, GROUP * block))
+                whole_groups = len(table) - len(table) % (GROUP * block)
+                held = [x for x in table.slice(whole_groups).to_batches() if x.num_rows]
+                size = len(table) - whole_groups
         if size:
-            yield send(pa.Table.from_batches(held))
+            yield pack(pa.Table.from_batches(held))
 
     n = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartitionByRange(n, "c", "near", "vec_id").sortWithinPartitions("c", "near", "vec_id").select("vec_id", "v", "asks").mapInArrow(run, BLOCK)
+    return ordered.repartitionByRange(n, "c", "near", "vec_id").sortWithinPartitions("c", "near", "vec_id").select("vec_id", "v", "asks").mapInArrow(run, BLOCKS)
 
 
 def merge(query, ids, score, who, cand, value, k):
     """Add candidates (who, cand, value) to the kept (ids, score) lists; ties go to the smaller id."""
-    touched = np.unique(who)
-    kept = np.flatnonzero(score[touched].ravel() > -np.inf)
+    touched, none = np.unique(who), -np.inf if score.dtype.kind == "f" else NONE
+    kept = np.flatnonzero(score[touched].ravel() > none)
     w = np.concatenate([who, np.repeat(touched, k)[kept]])
     c = np.concatenate([cand, ids[touched].ravel()[kept]])
     s = np.concatenate([value, score[touched].ravel()[kept]])
@@ -147,38 +162,46 @@ def merge(query, ids, score, who, cand, value, k):
     ids[w, rank], score[w, rank] = c, s
 
 
-def visit(qids, q, cids, rows, starts, high, low, k: int, least=None):
-    """The k best of some blocks for every query, from the highest bound down: (ids, scores) padded with -1 and -inf, exact.
+def visit(qids, q, cids, rows, starts, high, low, k: int, least=None, held=None, tally=None):
+    """The k best of some blocks for every query, from the highest bound down: (ids, scores) padded with -1 and NONE, exact.
 
-    starts: the first row of each block and the number of rows; least: scores below these do not matter.
+    starts: the first row of each block and the number of rows; least: scores below these do not matter; held: lists that are
+    known already and go on from here; tally: gets the number of pairs of query and block that were scored.
     """
     bound = bounds(q, high, low)
     q, rows = padded(q, rows)
     order = np.argsort(-bound, axis=1, kind="stable")
-    ids, score = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
-    floor = np.full(len(q), -np.inf) if least is None else least
+    ids, score = held if held is not None else (np.full((len(q), k), -1, np.int64), np.full((len(q), k), NONE))
+    floor = np.full(len(q), NONE) if least is None else least
     for turn in range(len(starts) - 1):
         at = order[:, turn]
         live = np.flatnonzero(bound[np.arange(len(q)), at] >= np.maximum(score[:, -1], floor))
         if not len(live):
             break
+        if tally is not None:
+            tally.append(len(live))
         for b in np.unique(at[live]):
             who = live[at[live] == b]
             span = slice(starts[b], starts[b + 1])
-            s = q[who] @ rows[span].T
+            s = (q[who] @ rows[span].T).astype(np.int64)
             i, j = np.nonzero((s >= np.maximum(score[who, -1], floor[who])[:, None]) & (qids[who][:, None] != cids[span][None, :]))
             if len(i):
                 merge(q, ids, score, who[i], cids[span][j], s[i, j], k)
     return ids, score
 
 
+def opened(r: dict):
+    """(ids, rows, starts, high, low) of a group."""
+    return np.frombuffer(r["ids"], "<i8"), to_matrix(r["rows"], r["n"]), np.frombuffer(r["starts"], "<i8"), to_matrix(r["high"], r["blocks"]), to_matrix(r["low"], r["blocks"])
+
+
 def stack(ms: list[np.ndarray]) -> np.ndarray:
     dim = max((m.shape[1] for m in ms), default=0)
     return np.concatenate([np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in ms]) if ms else np.zeros((0, 0), np.int64)
 
 
-def first_visit(blocks: DataFrame, k: int, query_rows: int) -> DataFrame:
-    """Packs of at most ``query_rows`` queries, each with the kth score of its own neighbourhood (-inf with fewer rows)."""
+def first_visit(groups: DataFrame, k: int, query_rows: int) -> DataFrame:
+    """Packs of at most ``query_rows`` queries, each with the kth score of its own group (NONE with fewer rows)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -195,85 +218,83 @@ def first_visit(blocks: DataFrame, k: int, query_rows: int) -> DataFrame:
             held = []
 
         for b in batches:
-            for lo in range(0, b.num_rows, NEAR):
-                some = b.slice(lo, NEAR).to_pylist()
-                ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in some])
-                asks = np.concatenate([np.frombuffer(r["asks"], bool) for r in some])
+            for r in b.to_pylist():
+                asks = np.frombuffer(r["asks"], bool)
                 if not asks.any():
                     continue
-                rows, high, low = stack([to_matrix(r["rows"], r["n"]) for r in some]), stack([to_matrix(r["high"], 1) for r in some]), stack([to_matrix(r["low"], 1) for r in some])
-                starts = np.concatenate([[0], np.cumsum([r["n"] for r in some])])
-                _, score = visit(ids[asks], rows[asks], ids, rows, starts, high, low, k)
+                ids, rows, *blocks = opened(r)
+                _, score = visit(ids[asks], rows[asks], ids, rows, *blocks, k)
                 held.append((ids[asks], rows[asks], score[:, -1]))
                 if sum(len(h[0]) for h in held) >= query_rows:
                     yield from send()
         if held:
             yield from send()
 
-    return blocks.select("ids", "asks", "n", "rows", "high", "low").mapInArrow(run, PACK)
+    return groups.mapInArrow(run, PACK)
 
 
-def route(blocks: DataFrame, packs: DataFrame, bound_rows: int) -> DataFrame:
-    """(block, q_n, q_ids, q_rows, q_least): for every block the queries whose bound on it reaches their kth score so far."""
+def on_grid(groups: DataFrame, packs: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Every pair of a group and a pack, in the cell of the grid where they meet."""
+    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    g = groups.drop("asks").select("*", F.pmod(F.xxhash64("grp"), F.lit(rows)).cast("int").alias("r"), spread("c", columns))
+    p = packs.select("*", F.pmod(F.xxhash64("pack"), F.lit(columns)).cast("int").alias("q_c"), spread("q_r", rows))
+    return g.join(p, (g["r"] == p["q_r"]) & (g["c"] == p["q_c"])).drop("r", "c", "q_r", "q_c")
 
-    def gather(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, bound_rows):
-                some = b.slice(lo, bound_rows).to_pylist()
-                # widths differ only where vectors do: what a block lacks is 0
-                yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int32()), *(pa.array([x], pa.binary()) for x in (np.array([r["block"] for r in some], "<i8").tobytes(), to_bytes(stack([to_matrix(r["high"], 1) for r in some])), to_bytes(stack([to_matrix(r["low"], 1) for r in some]))))], ["b_n", "b_ids", "b_high", "b_low"])
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, q, least = np.frombuffer(r["q_ids"], "<i8"), to_matrix(r["q_rows"], r["q_n"]), np.frombuffer(r["q_least"])
-                reach = bounds(q, to_matrix(r["b_high"], r["b_n"]), to_matrix(r["b_low"], r["b_n"])) >= least[:, None]
-                out = []
-                for place in np.flatnonzero(reach.any(axis=0)):
-                    who = np.flatnonzero(reach[:, place])
-                    out.append((np.frombuffer(r["b_ids"], "<i8")[place], len(who), ids[who].tobytes(), to_bytes(q[who]), least[who].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["block", "q_n", "q_ids", "q_rows", "q_least"])
-
-    names = [r[0] for r in packs.select("pack").collect()]  # a number for each query_rows queries
-    spark = blocks.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gathered = blocks.select("block", "high", "low").mapInArrow(gather, "b_n int, b_ids binary, b_high binary, b_low binary")
-    every = spark.createDataFrame([(n,) for n in names], "pack long").withColumn("one", F.lit(1))
-    dealt = gathered.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").withColumn("salt", F.pmod(F.xxhash64("b_ids"), F.lit(salts)).cast("int"))
-    salted = packs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.drop("one").join(salted, ["pack", "salt"]).select("b_n", "b_ids", "b_high", "b_low", "q_n", "q_ids", "q_rows", "q_least").mapInArrow(run, "block long, q_n int, q_ids binary, q_rows binary, q_least binary")
-
-
-def plan(vectors: DataFrame, is_query, k: int, scale: float, block: int, pivots: int, query_rows: int, bound_rows: int):
-    """(blocks, packs, routed); the first two as tables in the shared folder."""
+def plan(vectors: DataFrame, is_query, k: int, scale: float, block: int, pivots: int, query_rows: int):
+    """(groups, packs, their pairs on the grid); the first two as tables in the shared folder."""
     v = quantize(vectors, scale).withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    blocks = materialize(make_blocks(near_order(v, pivots), block), "blocks")
-    packs = materialize(first_visit(blocks, k, query_rows), "packs")
-    return blocks, packs, route(blocks, packs, bound_rows)
+    groups = materialize(make_groups(near_order(v, pivots), block), "groups")
+    packs = materialize(first_visit(groups, k, query_rows), "packs")
+    n, many = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], packs.agg(F.coalesce(F.sum("q_n"), F.lit(0))).first()[0]
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = max(1, round((tasks * many / max(n, 1)) ** 0.5), -(-many // CELL))
+    return groups, packs, on_grid(groups, packs, max(1, -(-tasks // columns)), columns)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 256, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 256, pivots: int = 256, query_rows: int = 2048) -> DataFrame:
     """Per query row the k best other rows by integer inner product: (query_id, rank, vec_id, score). is_query: a condition on vec_id."""
-    blocks, _, routed = plan(vectors, is_query, k, scale, block, pivots, query_rows, bound_rows)
+    _, _, pairs = plan(vectors, is_query, k, scale, block, pivots, query_rows)
 
     def run(batches):
+        lists: dict[int, tuple] = {}
+
+        def send():
+            for ids, cand, score in lists.values():
+                i, j = np.nonzero(score > NONE)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(cand[i, j]), pa.array(score[i, j])], ["query_id", "vec_id", "score"])
+            lists.clear()
+
         for b in batches:
             for r in b.to_pylist():
-                ids, q, least = np.frombuffer(r["q_ids"], "<i8"), to_matrix(r["q_rows"], r["q_n"]), np.frombuffer(r["q_least"])
-                cand, score = visit(ids, q, np.frombuffer(r["ids"], "<i8"), to_matrix(r["rows"], r["n"]), [0, r["n"]], to_matrix(r["high"], 1), to_matrix(r["low"], 1), k, least)
-                i, j = np.nonzero(score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(cand[i, j]), pa.array(score[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    found = blocks.drop("asks").join(routed, "block").drop("block").mapInArrow(run, FOUND)
+                ids, q, least = np.frombuffer(r["q_ids"], "<i8"), to_matrix(r["q_rows"], r["q_n"]), np.frombuffer(r["q_least"], "<i8")
+                if r["pack"] not in lists:
+                    if sum(len(x[0]) for x in lists.values()) > CELL:
+                        yield from send()
+                    lists[r["pack"]] = ids, np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), NONE)
+                visit(ids, q, *opened(r), k, least, lists[r["pack"]][1:])
+        yield from send()
+
+    found = pairs.mapInArrow(run, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def pruning(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 256, pivots: int = 256, query_rows: int = 2048, bound_rows: int = 1024) -> DataFrame:
-    """(queries, blocks, pairs, visited, skipped_share): how many pairs of query and block the bounds leave."""
-    blocks, packs, routed = plan(vectors, is_query, k, scale, block, pivots, query_rows, bound_rows)
-    sizes = blocks.agg(F.count("*").alias("blocks")), packs.agg(F.coalesce(F.sum("q_n"), F.lit(0)).alias("queries")), routed.agg(F.coalesce(F.sum("q_n"), F.lit(0)).alias("visited"))
-    one = [d.withColumn("one", F.lit(1)) for d in sizes]
-    told = one[0].join(one[1], "one").join(one[2], "one").withColumn("pairs", F.col("queries") * F.col("blocks"))
-    return told.select("queries", "blocks", "pairs", "visited", F.try_divide(F.col("pairs") - F.col("visited"), "pairs").alias("skipped_share"))
+def pruning(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, block: int = 256, pivots: int = 256, query_rows: int = 2048) -> DataFrame:
+    """(queries, blocks, pairs, visited, skipped_share): how many pairs of query and block the second round scores."""
+    groups, packs, pairs = plan(vectors, is_query, k, scale, block, pivots, query_rows)
+
+    def run(batches):
+        lists: dict[int, tuple] = {}
+        for b in batches:
+            tally: list[int] = []
+            for r in b.to_pylist():
+                ids, q, least = np.frombuffer(r["q_ids"], "<i8"), to_matrix(r["q_rows"], r["q_n"]), np.frombuffer(r["q_least"], "<i8")
+                lists.setdefault(r["pack"], (np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), NONE)))
+                visit(ids, q, *opened(r), k, least, lists[r["pack"]], tally)
+            yield pa.RecordBatch.from_arrays([pa.array([sum(tally)], pa.int64())], ["scored"])
+
+    visited = pairs.mapInArrow(run, "scored long").agg(F.coalesce(F.sum("scored"), F.lit(0))).first()[0]
+    blocks, queries = groups.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0], packs.agg(F.coalesce(F.sum("q_n"), F.lit(0))).first()[0]
+    share = 1 - visited / (blocks * queries) if blocks * queries else None
+    return vectors.sparkSession.createDataFrame([(queries, blocks, queries * blocks, visited, share)], "queries long, blocks long, pairs long, visited long, skipped_share double")

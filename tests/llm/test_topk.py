@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridols.llm import topk
@@ -21,7 +22,7 @@ def test_equals_brute_force_with_ties_and_odd_rows(spark):
     rows += [(0, rows[7][1]), (0, rows[8][1]), (2, rows[2][1]), (5, rows[9][1])]  # repeated query ids, alike and not; a repeated candidate
     rows += [(400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (405, [1.0, 2.0]), (406, []), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score string, block int, c int")
-    for how in ({"block": 8, "pivots": 5, "query_rows": 40, "bound_rows": 7}, {"block": 1, "pivots": 1, "query_rows": 1000, "bound_rows": 1000}, {}):
+    for how in ({"block": 8, "pivots": 5, "query_rows": 40}, {"block": 1, "pivots": 1, "query_rows": 1000}, {}):
         assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 2 == 0, k=5, **how).collect()) == brute(rows, 5)
 
 
@@ -32,6 +33,22 @@ def test_large_components_are_exact(spark):
     assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 2 == 0, k=3, block=4).collect()) == brute(rows, 3)
 
 
+def test_larger_scores_are_refused(spark):
+    for big in (1e300, 1e8):
+        df = spark.createDataFrame([(i, [big, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="2\\*\\*53" if big == 1e300 else "2\\*\\*63"):
+            topk.top_k(df, F.col("vec_id") == 0).collect()
+
+
+def test_small_cells_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", 10)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 4 == 0, block=8, query_rows=7).collect()) == brute(rows, 5, lambda i: i % 4 == 0)
+
+
 def test_visit_stops_when_bounds_fall_below_the_kth():
     rng = np.random.default_rng(1)
     rows = np.vstack([rng.integers(c, c + 10, (64, 4)) for c in range(0, 1000, 50)])
