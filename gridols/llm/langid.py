@@ -13,7 +13,8 @@ For speed, the trees of all languages are merged into one table of byte grams fo
 exact code length of the gram's last byte in every language; most bytes then take a single look-up. The tables have four
 bytes a sampled gram and language, so a corpus of very many languages wants a smaller sample of each.
 
-Nulls and the like: a null text, and one without a letter, is ``und`` with score 0; rows with a null lang are not
+Nulls and the like: a null text, and one without a letter (of the Unicode categories L: digits, number
+signs, marks and symbols are none), is ``und`` with score 0; rows with a null lang are not
 learned from; rows without a doc_id are left out; repeated rows get a row each; if nothing can be learned from, all
 is ``und``; columns other than doc_id, text and lang are not read, and ``keep_known`` keeps columns of any name; long texts
 are scored whole, in pieces; an empty table gives an empty result.
@@ -21,8 +22,6 @@ are scored whole, in pieces; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,7 @@ from gridols.llm.common import fold, hashed_sample, texts, without
 
 ORDER = 4
 PAD = b"\n" * ORDER
-LETTER = r"[^\W\d_]"
+LETTER = r"\p{L}"
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -190,8 +189,9 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = held.value
-        letter = re.compile(LETTER)
+        import regex
+
+        model, letter = held.value, regex.compile(LETTER)
         for batch in batches:
             raw = batch.column(1).to_pylist()
             told = [i for i, t in enumerate(raw) if model is not None and t and letter.search(t)]

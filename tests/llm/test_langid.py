@@ -96,6 +96,15 @@ def test_odd_rows_and_none(odd, none, spark):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_und_is_told_by_letters(spark, documents):
+    signs = ["½ ² ③", "Ⅷ Ⅸ", "1234", "\u0301\u0302", "__ -- !", "🙂 ☂", "①②", "٣٤", "x²", "ⅷ a", "漢", "ʰ", "ª"]
+    rows = [(-1 - k, t, None) for k, t in enumerate(signs)]
+    given = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(given).where("doc_id < 0").collect()}
+    assert {signs[-1 - d] for d, (lang, _) in told.items() if lang == "und"} == {t for t in signs if not any(map(str.isalpha, t))} == set(signs[:8])
+    assert all(score == 0 for lang, score in told.values() if lang == "und")
+
+
 #: A language that is not among the documents' four, two scripts, random letters, random base-64.
 FOREIGN = (
     "Ovo je tekst koji govori o ničemu posebnom, ali ga svejedno čitamo jer nemamo što drugo raditi danas.",
