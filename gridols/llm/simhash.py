@@ -3,8 +3,11 @@
 Fingerprints are cut into ``BLOCKS`` blocks. Two that differ in at most ``DISTANCE`` bits agree on at least
 ``BLOCKS - DISTANCE`` of them, so they share a bucket in the table of those blocks. Equal fingerprints are merged
 before anything is joined. A bucket is searched breadth-first over the fingerprints not reached yet: that gives its
-components without listing its pairs. Buckets over ``chunk`` fingerprints are split, and each pair of chunks is searched
-by itself, which loses no link.
+components without listing its pairs. In a bucket of over ``chunk`` fingerprints the same is done once more: its pairs
+differ only in the bits that the bucket leaves free, so these are cut into blocks in turn, of which close pairs agree on
+some, and the smaller buckets of those blocks are searched instead, down to ``LEVELS`` times. Fingerprints that are close in
+all of that are few: only where more than ``chunk`` share all but the last few bits is the bucket split in chunks, and each
+pair of chunks searched by itself. Nothing of this loses a link.
 
 A task holds one bucket, or pair of parts, and one batch at a time.
 
@@ -28,6 +31,8 @@ from gridols.llm.components import components
 
 BLOCKS = 6
 DISTANCE = 4
+#: Times that a crowded bucket's free bits are cut into blocks; bits that are too few to be cut again.
+LEVELS, FEWEST = 3, 12
 
 
 def fingerprint(text: bytes | None, width: int = 4, piece: int = 1 << 16) -> int:
@@ -92,10 +97,38 @@ def bucket_links(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, distance: i
     return (np.concatenate(left), np.concatenate(right)) if left else (rep[:0], rep[:0])
 
 
+def finer(mask: int, blocks: int, distance: int) -> list[int]:
+    """As signed longs, the masks of a bucket's smaller buckets: its own bits, and all but ``distance`` blocks of those that it leaves free."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    if len(free) < FEWEST:
+        return [mask]
+    cuts = [len(free) * i // blocks for i in range(blocks + 1)]
+    each = [sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [(m - (1 << 64)) if (m := mask % (1 << 64) | sum(c)) >> 63 else m for c in combinations(each, blocks - distance)]
+
+
 def near_links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, chunk: int = 4096) -> DataFrame:
     """(a, b) between representatives whose fingerprints are connected within a bucket. distinct: (fp, rep)."""
-    tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(masks(blocks, distance))))
-    return bucket_rows_links(distinct.withColumn("k", F.explode(tables)).select("k.t", "k.bucket", "fp", "rep"), distance, chunk)
+    tables = masks(blocks, distance)
+    in_tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(tables)))
+    rows = distinct.withColumn("k", F.explode(in_tables)).select("k.t", "k.bucket", "fp", "rep")
+    done = []
+    for _ in range(LEVELS):
+        crowded = materialize(rows.groupBy(F.col("t").alias("c_t"), F.col("bucket").alias("c_bucket")).agg(F.count("*").alias("n")).where(F.col("n") > chunk), "crowded")
+        if not crowded.limit(1).count():
+            break
+        at = (rows["t"] == crowded["c_t"]) & (rows["bucket"] == crowded["c_bucket"])
+        done.append(bucket_rows_links(rows.join(crowded, at, "left_anti"), distance, chunk))
+        finest = [(t, m) for t, mask in enumerate(tables) for m in finer(mask % (1 << 64), blocks, distance)]
+        split = [(t, new, m) for new, (t, m) in enumerate(finest)]
+        known = distinct.sparkSession.createDataFrame(split, "of int, t int, mask long")  # tables of tables: 225, then 3,375
+        heavy = rows.join(crowded, at, "left_semi").withColumnRenamed("t", "of").drop("bucket")
+        rows = materialize(heavy.join(F.broadcast(known), "of").select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "fp", "rep"), "finer")
+        tables = [m for _, _, m in split]
+    links = bucket_rows_links(rows, distance, chunk)
+    for more in done:
+        links = links.unionByName(more)
+    return links
 
 
 def bucket_rows_links(rows: DataFrame, distance: int, chunk: int) -> DataFrame:

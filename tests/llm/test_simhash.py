@@ -129,3 +129,42 @@ def test_groups_that_reach_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
     assert union(range(len(fps)), links) == union(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+
+
+def test_crowded_buckets_are_cut_by_their_free_bits(spark, monkeypatch):
+    """All fingerprints share two blocks, and many share more; the links are those of all pairs."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 40, 300).astype(np.int64) << np.int64(22) >> np.int64(1)
+    near = [int(base[i]) ^ sum(1 << int(b) for b in rng.choice(np.arange(22, 60), int(rng.integers(1, 6)), replace=False)) for i in rng.integers(0, 300, 300)]
+    close = [int(base[0]) ^ int(x) << 30 for x in range(200)]
+    fps = sorted({*map(int, base), *near, *close})
+    distinct = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, rep long")
+    of = np.array(fps, np.int64).view(np.uint64)
+    want = {}
+    for k in range(len(fps)):  # components over all pairs
+        want[k] = k
+    changed = True
+    while changed:
+        changed = False
+        for k in range(len(fps)):
+            for j in np.flatnonzero(np.bitwise_count(of ^ of[k]) <= 4):
+                low = min(want[k], want[int(j)])
+                changed |= want[k] != low or want[int(j)] != low
+                want[k] = want[int(j)] = low
+    for chunk in (20, 100):
+        got = {r["node"]: r["component"] for r in components(simhash.near_links(distinct, chunk=chunk)).collect()}
+        assert {k: got.get(k, k) for k in want} == want
+    monkeypatch.setattr(simhash, "LEVELS", 1)
+    got = {r["node"]: r["component"] for r in components(simhash.near_links(distinct, chunk=20)).collect()}
+    assert {k: got.get(k, k) for k in want} == want
+
+
+def test_masks_of_crowded_buckets_cover_close_pairs():
+    rng = np.random.default_rng(13)
+    for mask in (0, (1 << 21) - 1, ((1 << 64) - 1) ^ ((1 << 13) - 1)):
+        masks = [m % (1 << 64) for m in simhash.finer(mask, 6, 4)]
+        assert all(m & mask == mask for m in masks)
+        free = [i for i in range(64) if not mask >> i & 1]
+        for _ in range(200):
+            differ = sum(1 << int(b) for b in rng.choice(free, 4, replace=False))
+            assert any(not m & differ for m in masks)
