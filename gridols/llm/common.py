@@ -29,6 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. folders: columns by whose values the files are laid out."""
     path = f"{shared_dir(df.sparkSession)}/gridols-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # it goes with the application
     df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

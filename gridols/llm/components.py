@@ -2,6 +2,9 @@
 
 Each round is two grouped minima and one join; hubs are summed before the shuffle and their join is one that Spark
 splits when a key is hot. Links stay distributed. Every round is written to the shared folder, so lineage stays short.
+
+Nulls and the like: a link with a null end, or from a node to itself, joins nothing; repeated links and both directions of
+one count once; nodes without a link have no row; columns other than a and b are not read; no links give an empty result.
 """
 
 from __future__ import annotations

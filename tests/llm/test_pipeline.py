@@ -67,9 +67,35 @@ def stage(spark, docs, k, columns):
     return out.cache()
 
 
+def best_score(model, text):
+    """The best path's score, place by place over the whole text."""
+    s = (" " + text.replace("▁", pieces.LITERAL)).replace(" ", "▁") if text else ""
+    best = [0.0] + [float("-inf")] * len(s)
+    for i in range(len(s)):
+        for j in range(i + 1, min(len(s), i + model.longest) + 1):
+            k = model.id_of.get(s[i:j])
+            gain = model.scores[k] if k is not None else model.fallback if j == i + 1 else None
+            if gain is not None and best[i] + gain > best[j]:
+                best[j] = best[i] + gain
+    return best[-1]
+
+
 def test_run_equals_its_stages(spark):
-    rows = corpus_pipeline.run(spark, SF).select("doc_id", "ids_crc32").collect()
-    assert len(rows) == len({r["doc_id"] for r in rows}) > 100
+    """All rows of the run are those of its stages one after the other, each on what the one before returned; the best paths are the best."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, SF).cache()
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == want.columns
+    rows = got.collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, want.collect())) and {r["doc_id"] for r in rows} == set(text) and len(rows) == len(text) > 100
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for r in rows:
+        if len(text[r["doc_id"]]) < 4000:
+            assert r["score"] == pytest.approx(best_score(model, text[r["doc_id"]]))
+            assert all(s <= r["score"] for s in r["next_scores"])
 
 
 @pytest.mark.parametrize("k", range(5))
