@@ -144,4 +144,13 @@ SQL = {
         best AS (SELECT w.conv_id, min(row(cost, audit)) AS way, arg_min(kept, row(cost, audit)) AS kept FROM w LEFT JOIN totals t ON w.conv_id IS NOT DISTINCT FROM t.conv_id WHERE w.i = coalesce(n, 0) AND s IN (0, 3) GROUP BY w.conv_id)
         SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
                way[1] AS cost, way[2] AS audit, sha256(array_to_string(kept, chr(10))) AS repaired_sha256 FROM best b LEFT JOIN totals t ON b.conv_id IS NOT DISTINCT FROM t.conv_id""",
+    "op13_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+        e AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM w),
+        s AS (SELECT doc_id, i, word, count(*) OVER near AS n, string_agg(word, ' ') OVER near AS phrase FROM e WINDOW near AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        h AS (SELECT doc_id, i, word, CASE WHEN n = 50 THEN md5(phrase) END AS h FROM s),
+        f AS (SELECT h, min(doc_id) AS first FROM h WHERE h IS NOT NULL GROUP BY h),
+        g AS (SELECT h.doc_id, i, word, max(CAST(coalesce(first < h.doc_id, false) AS INTEGER)) OVER (PARTITION BY h.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM h LEFT JOIN f ON h.h = f.h),
+        k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone = 1) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM g GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
 }

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
 from gridols.llm import phrases, registry
@@ -96,6 +97,9 @@ def test_query_equals_brute_force_on_the_given_table(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in registry.QUERIES["op13_substring_dedup"](spark, SF).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert got == brute(docs)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert got == sorted(c.sql(registry.SQL["op13_substring_dedup"]).fetchall())
 
 
 def test_odd_rows(spark, odd, none):
