@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 
 from gridols.operators.maps import place
 from gridols.sources import volumes
-from gridols.sources.folders import file_system, qualified, read_text
-from gridols.sources.nifti import decode_header
-
-#: Kept under this module's name as well.
-from gridols.sources.nifti import decode, encode, encode_pair, header  # noqa: E402, F401
+from gridols.sources.folders import qualified, read_text
+from gridols.sources.nifti import decode, decode_header, encode, encode_pair  # noqa: F401  (the codec goes by this module's name too)
 
 
 def located(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str, int]]:
