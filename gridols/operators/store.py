@@ -12,8 +12,8 @@ from gridols.operators.products import add_forms
 from gridols.sources.folders import delete, qualified, read_text, write_text
 
 KEYS = ["map", "vol", "part"]
-#: Cells of a stored range.
-WIDTH = 1 << 20
+#: Cells of a stored range, and ranges of a volume up to which they may be narrower.
+WIDTH, NARROW = 1 << 20, 64
 
 
 def part_of(width: int) -> Column:
@@ -26,7 +26,13 @@ def layout(spark: SparkSession, path: str) -> str:
 
 
 def save_maps(maps: DataFrame, path: str, width: int = WIDTH) -> None:
-    """Maps (map, vol, cell, value) as Parquet, laid out by map, volume and range of ``width`` cells; replaces what was there."""
+    """Maps (map, vol, cell, value) as Parquet, laid out by map, volume and range of ``width`` cells; replaces what was there.
+
+    A range is a folder with a file of its own. Where ``width`` would make more than ``NARROW`` ranges of a volume they are
+    widened, to ``WIDTH`` cells at most, so that the files do not grow in number with the cells while they hold next to nothing.
+    """
+    first, last = maps.agg(F.min("cell"), F.max("cell")).first()
+    width = width if first is None else max(width, min(WIDTH, -(-(last - first + 1) // NARROW)))
     dealt = maps.select("map", "vol", "cell", "value", part_of(width).alias("part"))
     dealt.repartition(*KEYS).sortWithinPartitions(*KEYS, "cell").write.mode("overwrite").partitionBy(*KEYS).parquet(path)
     write_text(layout(maps.sparkSession, path), json.dumps({"width": width}))

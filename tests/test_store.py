@@ -110,3 +110,14 @@ def test_ranges_of_cells_reach_the_scan(spark, forms):
     told = plan(found)
     assert "Exchange" not in told and "GreaterThanOrEqual(cell,40)" in told and "LessThanOrEqual(cell,60)" in told
     equal(found, added(rows, set(range(40, 61))))
+
+
+def test_narrow_ranges_do_not_multiply_with_the_cells(spark, tmp_path):
+    for cells in (300, 3000):
+        path = f"{tmp_path}/{cells}"
+        store.save_maps(spark.range(cells).select(F.lit("n").alias("map"), F.lit(0).alias("vol"), F.col("id").alias("cell"), F.col("id").cast("double").alias("value")), path, width=2)
+        assert len(files(path)) <= 64
+        before = files(path)
+        store.upsert_stored(spark.createDataFrame([("n", 0, 1, -1.0)], SCHEMA), path)
+        assert len(set(before) - set(files(path))) == 1 and len(files(path)) == len(before)
+        assert values(spark, path) == {("n", 0, c): -1.0 if c == 1 else float(c) for c in range(cells)}
