@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridols.operators.maps import place
 from gridols.sources import volumes
-from gridols.sources.folders import qualified, read_text
+from gridols.sources.folders import kept, qualified, read_text, shared_folder, write_text
 from gridols.sources.nifti import decode, decode_header, encode, encode_pair  # noqa: F401  (the codec goes by this module's name too)
 
 
@@ -31,7 +31,9 @@ def read_volumes(spark: SparkSession, files: list[tuple[int, str, str, int]], sl
     """(obs, vol, plane, cell, y) of located images; chosen: images, volumes, planes or cells as "first:last", which alone are read."""
     spark.dataSource.register(volumes.Images)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    told = {"files": json.dumps(files), "slab_bytes": slab_bytes, "tasks": spark.sparkContext.defaultParallelism, "pushdown": pushdown} | chosen
+    listed = f"{shared_folder(spark, 'listed')}/files.json"
+    write_text(listed, json.dumps(files))
+    told = {"listed": listed, "slab_bytes": slab_bytes, "tasks": spark.sparkContext.defaultParallelism, "pushdown": pushdown} | chosen
     return spark.read.format(volumes.NAME).options(**told).load()
 
 
@@ -54,7 +56,7 @@ def read_images(spark: SparkSession, paths: list[str], slab_bytes: int = volumes
     named by either of its files; a file that is listed twice, or does not exist, is refused.
     """
     files = located(spark, paths)
-    meta = read_meta(spark, files)
+    meta = kept(read_meta(spark, files), "meta")  # the headers are read once
     many = meta.where(F.size("shape") > 3).select("obs", F.aggregate(F.slice("shape", 4, 99), F.lit(1).cast("long"), lambda a, n: a * n).alias("volumes"))
     rows = read_volumes(spark, files, slab_bytes)
     if many.limit(1).count():

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from gridols.sources.folders import file_system
+from gridols.sources.folders import file_system, read_text
 from gridols.sources.nifti import Head, candidates, decode_header, header, start_of
 
 NAME = "gridols_images"
@@ -60,10 +60,14 @@ def locate(addresses: list[str]) -> list[tuple[int, str, str, int]]:
     return out
 
 
+def opened(address: str):
+    fs, path = file_system(address)
+    return fs.open_input_file(path)
+
+
 def first_bytes(address: str) -> bytes:
     """The start of a file, unzipped, enough of it for a header."""
-    fs, path = file_system(address)
-    with fs.open_input_stream(path, compression=None) as f:
+    with opened(address) as f:
         return start_of(f.read(1 << 13))
 
 
@@ -85,30 +89,47 @@ class Slabs(InputPartition):
 
 def bytes_of(values: str, head: Head, wanted) -> Iterator[tuple[int, int, int, bytes]]:
     """(volume, first plane, planes, bytes) of the wanted (volume, first plane, planes), in the file's order."""
+    with opened(values) as f:
+        yield from bytes_in(f, values, head, wanted)
+
+
+def bytes_in(f, values: str, head: Head, wanted) -> Iterator[tuple[int, int, int, bytes]]:
+    """The same of an open file."""
     nx, ny, nz = head.grid
     plane = nx * ny * head.kind.itemsize
-    fs, path = file_system(values)
-    with fs.open_input_file(path) as f:
-        zipped = f.read(2) == b"\x1f\x8b"
-        f.seek(0)
-        source, at = (gzip.GzipFile(fileobj=f), 0) if zipped else (f, 0)
-        for vol, z, n in wanted:
-            start = head.start + (vol * nz + z) * plane
-            if zipped:
-                while at < start:  # a zipped file is unzipped up to what is wanted, some bytes at a time
-                    at += len(source.read(min(1 << 20, start - at)))
-            else:
-                source.seek(start)
-            data = source.read(n * plane)
-            at += n * plane
-            if len(data) < n * plane:
-                raise ValueError(f"{values} ends before its last voxel")
-            yield vol, z, n, data
+    f.seek(0)
+    zipped = f.read(2) == b"\x1f\x8b"
+    f.seek(0)
+    source, at = (gzip.GzipFile(fileobj=f), 0) if zipped else (f, 0)
+    for vol, z, n in wanted:
+        start = head.start + (vol * nz + z) * plane
+        if zipped:
+            while at < start:  # a zipped file is unzipped up to what is wanted, some bytes at a time
+                at += len(source.read(min(1 << 20, start - at)))
+        else:
+            source.seek(start)
+        data = source.read(n * plane)
+        at += n * plane
+        if len(data) < n * plane:
+            raise ValueError(f"{values} ends before its last voxel")
+        yield vol, z, n, data
+
+
+def batches_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Pieces (obs, vol, planes, cells, values) together in batches of at most ``BATCH`` rows."""
+    if not held:
+        return
+    size = [len(h[4]) for h in held]
+    columns = [np.repeat(np.array([h[k] for h in held], kind), size) for k, kind in ((0, np.int64), (1, np.int32))]
+    columns += [np.concatenate([h[k] for h in held]) for k in (2, 3, 4)]
+    for at in range(0, sum(size), BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + BATCH]) for c in columns], schema=ROWS)
 
 
 class ImageReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.files = json.loads(options["files"]) if "files" in options else locate(json.loads(options["paths"]) if "paths" in options else [options["path"]])
+        self.listed = options.get("listed")  # a file that holds the list: tasks are sent the reader, but need no other's images
+        self.files = [] if self.listed else json.loads(options["files"]) if "files" in options else locate(json.loads(options["paths"]) if "paths" in options else [options["path"]])
         self.slab_bytes = int(options.get("slab_bytes", SLAB_BYTES))
         self.tasks = int(options.get("tasks", 8))
         self.bounds = {c: (0, FAR) for c in BOUNDED}
@@ -153,7 +174,7 @@ class ImageReader(DataSourceReader):
     def partitions(self):
         low, high = self.bounds["obs"]
         small, parts = [], []
-        for obs, values, head_file, size in self.files:
+        for obs, values, head_file, size in json.loads(read_text(self.listed)) if self.listed else self.files:
             if not low <= obs <= high:
                 continue
             slab = Slab(obs, values, head_file)
@@ -175,22 +196,25 @@ class ImageReader(DataSourceReader):
         return parts or [Slabs()]
 
     def read(self, partition: Slabs):
+        held, size = [], 0  # small images share batches
         for slab in partition.slabs:
-            head = decode_header(first_bytes(slab.head))
-            nx, ny, nz = head.grid
-            lines = np.arange(nx * ny, dtype=np.int64) * nz
-            for vol, z, n, data in bytes_of(slab.values, head, self.pieces(head, slab)):
-                y = head.scaled(np.frombuffer(data, head.kind)).reshape((nx, ny, n), order="F").ravel()
-                plane = np.tile(np.arange(z, z + n, dtype=np.int32), nx * ny)
-                cell = (lines[:, None] + np.arange(z, z + n)).ravel()
-                first, last = self.bounds["cell"]
-                if (first, last) != (0, FAR):
-                    keep = (cell >= first) & (cell <= last)
-                    y, plane, cell = y[keep], plane[keep], cell[keep]
-                for at in range(0, len(y), BATCH):
-                    few = slice(at, at + BATCH)
-                    m = len(y[few])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, slab.obs)), pa.array(np.full(m, vol, np.int32)), pa.array(plane[few]), pa.array(cell[few]), pa.array(y[few])], schema=ROWS)
+            with opened(slab.values) as f:
+                head = decode_header(f.read(1 << 13) if slab.head == slab.values else first_bytes(slab.head))
+                for vol, z, n, data in bytes_in(f, slab.values, head, self.pieces(head, slab)):
+                    nx, ny, nz = head.grid
+                    y = head.scaled(np.frombuffer(data, head.kind)).reshape((nx, ny, n), order="F").ravel()
+                    plane = np.tile(np.arange(z, z + n, dtype=np.int32), nx * ny)
+                    cell = (np.arange(nx * ny, dtype=np.int64)[:, None] * nz + np.arange(z, z + n)).ravel()
+                    first, last = self.bounds["cell"]
+                    if (first, last) != (0, FAR):
+                        keep = (cell >= first) & (cell <= last)
+                        y, plane, cell = y[keep], plane[keep], cell[keep]
+                    held.append((slab.obs, vol, plane, cell, y))
+                    size += len(y)
+                    if size >= BATCH:
+                        yield from batches_of(held)
+                        held, size = [], 0
+        yield from batches_of(held)
 
 
 class FilteredReader(ImageReader):

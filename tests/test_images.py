@@ -216,3 +216,19 @@ def test_an_address_without_a_scheme_is_on_the_default_file_system(spark, tmp_pa
     monkeypatch.setattr(images, "qualified", lambda s, paths: seen.append(paths) or iter([f"file://{tmp_path}/elsewhere/x"]))
     images.write_images(maps_of(spark, {"n": np.ones((2, 2, 2))}), "out", (2, 2, 2))
     assert seen == [["out/x"]] and (tmp_path / "elsewhere/n.nii").exists() and not (tmp_path / "out").exists()
+
+
+def test_small_images_share_batches_and_tasks_are_not_sent_the_list(tmp_path):
+    import json
+    import pickle
+
+    v = np.random.default_rng(8).normal(size=(50, 2, 3, 4))
+    for k in range(50):
+        (tmp_path / f"{k}.nii").write_bytes(nifti.encode(v[k], AFFINE))
+    files = volumes.locate([f"file://{tmp_path}/{k}.nii" for k in range(50)])
+    (tmp_path / "files.json").write_text(json.dumps(files))
+    reader = volumes.ImageReader({"listed": f"file://{tmp_path}/files.json", "tasks": 1})
+    (part,) = reader.partitions()[:1] if len(reader.partitions()) == 1 else [volumes.Slabs([s for p in reader.partitions() for s in p.slabs])]
+    batches = list(reader.read(part))
+    assert len(batches) == 1 and len(pickle.dumps(reader)) < 2000
+    assert {(o, t, c): y for o, t, _, c, y in zip(*(x.to_pylist() for x in batches[0].columns))} == {k: y for o in range(50) for k, y in truth(v[o], o).items()}
