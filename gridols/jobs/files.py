@@ -36,6 +36,8 @@ def written_images(rows: DataFrame, folder: str, wide: str = "false") -> list[st
     """
 
     def run(batches):
+        fs, path = file_system(f"{folder}/x")
+        fs.create_dir(path.rpartition("/")[0])
         for b in batches:
             out = []
             for obs, values, other in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -52,13 +54,13 @@ def written_images(rows: DataFrame, folder: str, wide: str = "false") -> list[st
                     parts = {".nii": encode(v, affine)}
                 for ending, data in parts.items():
                     fs, path = file_system(f"{folder}/{obs}{ending}")
-                    fs.create_dir(path.rpartition("/")[0])
                     with fs.open_output_stream(path, compression=None) as f:  # the same bytes however often a task runs
                         f.write(data)
                 out.append(f"{folder}/{obs}{next(iter(parts))}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["obs", "path"])
 
-    return [r[1] for r in sorted(rows.select("obs", "values", F.expr(wide).alias("wide")).mapInArrow(run, "obs long, path string").collect())]  # a study's path list
+    many = 2 * rows.sparkSession.sparkContext.defaultParallelism  # the table may lie in few files, and small ones
+    return [r[1] for r in sorted(rows.select("obs", "values", F.expr(wide).alias("wide")).repartition(many, "obs").mapInArrow(run, "obs long, path string").collect())]  # a study's path list
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
