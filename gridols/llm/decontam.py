@@ -6,9 +6,9 @@ documents are stop words of no weight, but for the terms of items that would los
 document passages are windows of ``window`` words at every ``stride`` words. A
 randomised SVD of the TF-IDF matrix of passages and benchmark items gives a latent space, the index: a random test matrix
 is pushed through the passages by Spark (partial products are summed by term), the singular vectors follow from this one
-pass (Nystrom), and only matrices of terms by rank ever meet in one place. The axes are fitted on about ``sample_docs``
-whole documents, chosen by the hash of the doc_id, and on all items, whose rows count ``item_weight`` times so that few
-axes hold them; every passage of every document is projected on them and searched. Items are cut into passages of
+pass (Nystrom), and only matrices of terms by rank ever meet in one place. The axes are fitted on all passages of all
+documents and on all items, whose rows count ``item_weight`` times so that few axes hold them; every passage of every
+document is projected on them and searched. Items are cut into passages of
 ``window`` words too, so that a long item is met by passages of its own length. A document passage whose latent vector
 has cosine ``min_cosine`` or more with an item's passage is a candidate for the item as a whole; so is, whatever the
 weights, every place that has a word triple of an item (all its words if it has fewer; triples of over ``COMMON`` items
@@ -356,7 +356,7 @@ def latent_axes(docs: DataFrame, held, idf: np.ndarray, rank: int, window: int,
     return np.linalg.svd(np.linalg.solve(low, y.T).T, full_matrices=False)[0][:, :rank]
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, rank: int = 96, item_weight: float = 30.0, window: int = 48, stride: int = 16, min_cosine: float = 0.6, max_df: float = 0.05, sample_docs: int = 20_000, whole: float = 0.8, part: float = 0.55, answer_words: int = 3) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, rank: int = 96, item_weight: float = 30.0, window: int = 48, stride: int = 16, min_cosine: float = 0.6, max_df: float = 0.05, whole: float = 0.8, part: float = 0.55, answer_words: int = 3) -> DataFrame:
     """(doc_id, item_id, cosine, common): every document that holds an item, with the best passage's figures."""
     spark = documents.sparkSession
     docs = texts(documents).select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -365,7 +365,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, rank: int = 96, item_wei
     rows = ((r[0], bytes(r[1] or b"")) for r in (items.orderBy("item_id", "text").toLocalIterator() if count else ()))
     found = None
     for batch in passes(rows):
-        one = pass_over(spark, docs, Items(batch, window), rank, item_weight, window, stride, min_cosine, max_df, sample_docs, whole, part, answer_words)
+        one = pass_over(spark, docs, Items(batch, window), rank, item_weight, window, stride, min_cosine, max_df, whole, part, answer_words)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, common double")
@@ -385,12 +385,11 @@ def passes(rows):
         yield held
 
 
-def pass_over(spark: SparkSession, docs, items: Items, rank, item_weight, window, stride, min_cosine, max_df, sample_docs, whole, part, answer_words) -> DataFrame:
+def pass_over(spark: SparkSession, docs, items: Items, rank, item_weight, window, stride, min_cosine, max_df, whole, part, answer_words) -> DataFrame:
     held = spark.sparkContext.broadcast(items)
     df, total = frequencies(docs, held)
     idf = items.weights(df, total, max_df)
-    fitted = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample_docs / max(1, total)))))
-    items.finish(idf, latent_axes(fitted, held, idf, min(rank, len(idf)), window, stride, item_weight) if len(idf) else np.zeros((0, 0)), answer_words)
+    items.finish(idf, latent_axes(docs, held, idf, min(rank, len(idf)), window, stride, item_weight) if len(idf) else np.zeros((0, 0)), answer_words)
     ready = spark.sparkContext.broadcast(items)
 
     def run(batches):
