@@ -12,7 +12,8 @@ Two passes. In the first an anchor meets the blocks of its own label and keeps i
 it meets all other blocks and keeps, for each positive, the best rows in that positive's range of scores. A pass deals
 blocks and packs of anchors out on a grid: a block goes to ``columns`` cells and a pack to ``rows`` cells, which are chosen so
 that both sides move about the same number of bytes. A label may hold any share of the rows, since blocks are cut by
-number. A cell keeps the lists of its anchors, at most ``CELL`` of them; these meet in a window of a list for each cell.
+number. A cell keeps the lists of its anchors, at most ``CELL`` of them; these meet in a window of a list for each cell. All
+joins are sort-merge joins: both sides grow with the table, so neither goes through the driver.
 
 Nulls and the like: rows without an id or label, with a null vector or with a null, NaN or infinite component take no part;
 vectors of different lengths meet as if the shorter ended in zeros, and an empty one scores 0; repeated ids are separate
@@ -294,7 +295,8 @@ def on_grid(blocks: DataFrame, packs: DataFrame, rows: int, columns: int, same_l
     b = blocks.drop("asks").select("*", F.pmod(F.xxhash64("block"), F.lit(rows)).cast("int").alias("r"), spread("c", columns))
     p = packs.select("*", F.pmod(F.xxhash64("pack"), F.lit(columns)).cast("int").alias("q_c"), spread("q_r", rows))
     at = (b["r"] == p["q_r"]) & (b["c"] == p["q_c"])
-    return b.join(p, at & (b["label"] == p["q_label"] if same_label else b["label"] != p["q_label"])).drop("r", "c", "q_r", "q_c")
+    meet = at & (b["label"] == p["q_label"] if same_label else b["label"] != p["q_label"])
+    return b.join(p.hint("merge"), meet).drop("r", "c", "q_r", "q_c")  # copies for the grid are not in Spark's estimate: a broadcast would put them all on the driver
 
 
 def mine(vectors: DataFrame, is_anchor, positives: int = 5, negatives: int = 3, low: tuple[int, int] = (50, 100), high: tuple[int, int] = (95, 100), scale: float = 256.0, block: int = 2048, pack: int = 1024) -> DataFrame:
@@ -325,7 +327,7 @@ def mine(vectors: DataFrame, is_anchor, positives: int = 5, negatives: int = 3,
                 score[at, np.array(rank) - 1], there[at, np.array(rank) - 1] = [t["score"] for t in r["told"]], True
                 yield pa.RecordBatch.from_arrays([pa.array([r["pack"]]), pa.array([r["q_label"]], pa.int32()), pa.array([r["q_n"]], pa.int32()), *(pa.array([x], pa.binary()) for x in (r["q_ids"], r["q_rows"], score.tobytes(), there.tobytes()))], ["pack", "q_label", "q_n", "q_ids", "q_rows", "positive_scores", "positive_there"])
 
-    ready = packs.join(told, packs["pack"] == told["of"]).drop("of").mapInArrow(with_positives, f"{PACK}, positive_scores binary, positive_there binary")
+    ready = packs.join(told.hint("merge"), packs["pack"] == told["of"]).drop("of").mapInArrow(with_positives, f"{PACK}, positive_scores binary, positive_there binary")
     hard = ranked(search(on_grid(blocks, ready, *cells, same_label=False), negatives, dim, positives, best_in_range(negatives, positives, low, high)), negatives)
 
     def anchor_ids(batches):
@@ -335,7 +337,7 @@ def mine(vectors: DataFrame, is_anchor, positives: int = 5, negatives: int = 3,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), pack_id)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], ["a_pack", "a_search", "anchor_id"])
 
     anchors = packs.select("pack", "q_ids").mapInArrow(anchor_ids, "a_pack long, a_search int, anchor_id long")
-    pairs = near.join(anchors, (near["pack"] == anchors["a_pack"]) & (near["search"] == anchors["a_search"]))
+    pairs = near.join(anchors.hint("merge"), (near["pack"] == anchors["a_pack"]) & (near["search"] == anchors["a_search"]))
     pairs = pairs.select(F.col("pack").alias("p_pack"), (F.col("search") * positives + F.col("rank") - 1).alias("p_search"), "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = hard.join(pairs, (hard["pack"] == pairs["p_pack"]) & (hard["search"] == pairs["p_search"]))
+    out = hard.join(pairs.hint("merge"), (hard["pack"] == pairs["p_pack"]) & (hard["search"] == pairs["p_search"]))
     return out.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

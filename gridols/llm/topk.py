@@ -238,7 +238,7 @@ def on_grid(groups: DataFrame, packs: DataFrame, rows: int, columns: int) -> Dat
     spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     g = groups.drop("asks").select("*", F.pmod(F.xxhash64("grp"), F.lit(rows)).cast("int").alias("r"), spread("c", columns))
     p = packs.select("*", F.pmod(F.xxhash64("pack"), F.lit(columns)).cast("int").alias("q_c"), spread("q_r", rows))
-    return g.join(p, (g["r"] == p["q_r"]) & (g["c"] == p["q_c"])).drop("r", "c", "q_r", "q_c")
+    return g.join(p.hint("merge"), (g["r"] == p["q_r"]) & (g["c"] == p["q_c"])).drop("r", "c", "q_r", "q_c")  # never broadcast: copies for the grid are not in Spark's estimate
 
 
 def plan(vectors: DataFrame, is_query, k: int, scale: float, block: int, pivots: int, query_rows: int):

@@ -3,7 +3,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridols.llm import negatives, registry
+from gridols.llm import negatives, registry, topk
+from gridols.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,15 @@ def test_few_rows_and_none(spark):
     assert negatives.mine(spark.createDataFrame([(1, [1.0], 1)], schema), F.lit(True)).count() == 0
     alone = negatives.mine(spark.createDataFrame([(1, [1.0], 1), (2, [1.0], 1), (3, [0.75], 2)], schema), F.lit(True))
     assert ids(alone.select("anchor_id", "positive_id", "negative_id")) == [(1, 2, 3), (2, 1, 3)]
+
+
+def test_no_join_passes_through_the_driver(spark):
+    """A table of few bytes is dealt out in copies for the grid: Spark would broadcast them, whatever they come to."""
+    rows = [(i, [float(i % 5), float(i % 3)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    blocks, packs = negatives.make_blocks(negatives.prepared(df, F.col("vec_id") % 2 == 0, 256.0), 64, 8), negatives.make_packs(negatives.prepared(df, F.col("vec_id") % 2 == 0, 256.0), 2, 4)
+    _, _, grid = topk.plan(df, F.col("vec_id") % 2 == 0, 5, 256.0, 8, 4, 4)
+    plans = [negatives.on_grid(materialize(blocks, "b"), materialize(packs, "p"), 2, 2, same) for same in (True, False)] + [negatives.mine(df, F.col("vec_id") % 2 == 0), grid]
+    for plan in plans:
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in shown and "Broadcast" not in shown
